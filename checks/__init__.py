@@ -1,5 +1,5 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from checks import text
+from checks import score, text
 
-REGISTRY = {**text.QUERIES}
+REGISTRY = {**text.QUERIES, **score.QUERIES}

@@ -227,6 +227,21 @@ def brands_df(spark: SparkSession, brands: tuple[Brand, ...] | None = None) -> D
               "official_numbers array<string>")
 
 
+def aliases_df(spark: SparkSession, aliases: tuple[SenderAlias, ...]) -> DataFrame:
+    """One row per registered active alias (the first one of a name)."""
+    by_token: dict[str, SenderAlias] = {}
+    for alias in aliases:
+        by_token.setdefault(token_literal(alias.alias), alias)
+    rows = [
+        (token, a.holder, a.tax_id, a.category, a.activation_date, list(a.authorized),
+         [token_literal(n) for n in a.authorized], token_literal(a.holder))
+        for token, a in by_token.items() if a.status == "active"]
+    return spark.createDataFrame(
+        rows, "alias_token string, holder string, tax_id string, alias_category string, "
+              "activation_date string, authorized array<string>, "
+              "authorized_tokens array<string>, holder_token string")
+
+
 def policies_df(spark: SparkSession, policies: tuple[tuple, ...] = fixed.PROVIDERS) -> DataFrame:
     return spark.createDataFrame(
         list(policies), "provider string, format string, indicator_type string, trust_tier int, "

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from vigia import fixed
-from vigia.functions.text import let, regexp_map
+from vigia.functions.text import let, quick, regexp_map
 
 # Python-style matching: any case, Unicode word boundaries and classes.
 _ANY_CASE = "(?iU)"
-_DNI = _ANY_CASE + fixed.DNI
-_CARD = "(?U)" + fixed.CARD
-_EMAIL = _ANY_CASE + fixed.EMAIL
-_PHONE = "(?U)" + fixed.PHONE
-_AMOUNT = _ANY_CASE + fixed.AMOUNT
-_OTP = _ANY_CASE + fixed.OTP
-URL = _ANY_CASE + fixed.URL
-_IBAN = _ANY_CASE + r"\b(?:" + "|".join(
+_DNI = quick(fixed.DNI, _ANY_CASE)
+_CARD = r"(?=[0-9])(?U)" + fixed.CARD
+_EMAIL = r"(?=[A-Za-z0-9])" + _ANY_CASE + fixed.EMAIL
+_PHONE = r"(?=[+36789])(?U)" + fixed.PHONE
+_AMOUNT = r"(?=[0-9])" + _ANY_CASE + fixed.AMOUNT
+_OTP = quick(fixed.OTP, _ANY_CASE)
+URL = quick(fixed.URL, _ANY_CASE)
+_IBAN = r"(?=[A-Za-z]{2}(?U:\s?\d))" + _ANY_CASE + r"\b(?:" + "|".join(
     rf"(?:{countries.replace(' ', '|')})\s?\d{{2}}(?:[\s-]?[A-Z0-9]){{{length - 4}}}"
     for length, countries in fixed.IBAN_COUNTRIES_BY_LENGTH.items()
 ) + r")\b"
@@ -108,7 +108,8 @@ def redact(text: Column) -> Column:
     view = F.regexp_replace(view, _OTP, "[CÓDIGO]")
     view = F.regexp_replace(view, _DNI, "[DNI]")
     view = regexp_map(view, _CARD, lambda m: F.when(valid_card(m), F.lit("[TARJETA]")).otherwise(m))
-    view = F.regexp_replace(view, _EMAIL, "[EMAIL]")
+    view = let(view, lambda v: F.when(
+        v.contains("@"), F.regexp_replace(v, _EMAIL, "[EMAIL]")).otherwise(v))
     view = F.regexp_replace(view, _PHONE, "[TELÉFONO]")
     return F.regexp_replace(view, _AMOUNT, "[IMPORTE]")
 
@@ -124,7 +125,7 @@ def sensitive_types(text: Column) -> Column:
         F.when(F.exists(_all(text, _IBAN), valid_iban), "iban"),
         F.when(text.rlike(_DNI), "dni"),
         F.when(F.exists(_all(text, _CARD), valid_card), "tarjeta"),
-        F.when(text.rlike(_EMAIL), "email"),
+        F.when(text.contains("@") & text.rlike(_EMAIL), "email"),
         F.when(text.rlike(_PHONE), "telefono"),
     ))
 

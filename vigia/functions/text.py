@@ -70,21 +70,79 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def pin(value: Column) -> Column:
+    """The same value, but computed where it is written. Filters and generators above would
+    otherwise be pushed below the projection together with a copy of the whole expression; the
+    optimiser never moves a random number, so one is consulted (and ignored)."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 # Expansions seen in everyday text are replaced directly, the rest by a per-character lookup.
 _EVERYDAY = "…™½¼¾ﬁﬂ№ß"
 
 
+def quick(pattern: str, flags: str = "") -> str:
+    r"""The same pattern behind a look at its first letter.
+
+    Java tests a Unicode ``\b`` slowly and at every character. The alternatives of a word pattern
+    ``\b(?:one|two)`` begin with few letters, and a plain character class is tested first, fast.
+    """
+    if not pattern.startswith(r"\b(?:"):
+        raise ValueError(pattern)
+    depth, firsts, at_start, i = 0, set(), True, len(r"\b(?:")
+    while depth >= 0:
+        char = pattern[i]
+        if at_start:
+            if char == "[":
+                firsts.update(pattern[i + 1:pattern.index("]", i)])
+            elif pattern.startswith(r"\d", i):
+                firsts.update("0123456789")
+            else:
+                firsts.add(char)
+            at_start = False
+        if char == "\\":
+            i += 1
+        elif char == "[":
+            i = pattern.index("]", i)
+        elif char == "(":
+            depth += 1
+        elif char == ")":
+            depth -= 1
+        elif char == "|" and depth == 0:
+            at_start = True
+        i += 1
+    letters = {c for f in firsts for c in (f.lower(), f.upper())} if "i" in flags else firsts
+    if "i" in flags and letters & set("sk"):
+        letters |= set("ſK")  # fold to s and k
+    return f"(?=[{''.join(sorted(letters))}]){flags}{pattern}"
+
+
+def _ranges(chars) -> str:
+    codes, spans = sorted(ord(c) for c in chars), []
+    for code in codes:
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in spans)
+
+
 def fold(text: Column, kind: str) -> Column:
     source, target, expansions = fold_tables(kind)
     everyday = [(c, r) for c, r in expansions if c in _EVERYDAY]
     rare = [(c, r) for c, r in expansions if c not in _EVERYDAY]
-    lookup = F.str_to_map(
-        F.lit("\x01".join(f"{c}\x02{r}" for c, r in rare)), F.lit("\x01"), F.lit("\x02"))
-    any_rare = "[" + "".join(c for c, _ in rare) + "]"
+    # one packed string, searched only for the rare characters themselves
+    packed = F.lit("\x01" + "\x01".join(f"{c}\x02{r}" for c, r in rare) + "\x01")
+    # ASCII is ruled out first: the class is long and Java walks it range by range
+    any_rare = r"(?=[^\x00-\x7F])[" + _ranges(c for c, _ in rare) + "]"
+
+    def spell(char: Column) -> Column:
+        behind = F.call_function(
+            "substring_index", packed, F.concat(F.lit("\x01"), char, F.lit("\x02")), F.lit(-1))
+        return F.when(char.rlike(any_rare), F.substring_index(behind, "\x01", 1)).otherwise(char)
 
     def spell_rare(view: Column) -> Column:
-        spelled = F.array_join(
-            F.transform(F.split(view, ""), lambda c: F.coalesce(F.try_element_at(lookup, c), c)), "")
+        spelled = F.array_join(F.transform(F.split(view, ""), spell), "")
         return F.when(view.rlike(any_rare), spelled).otherwise(view)
 
     def folded(raw: Column) -> Column:
@@ -125,10 +183,15 @@ _SPACED_BLANKS = (
     rf"|(?U)(?<=(?<!\w){_LETTER}\s{{1,64}}{_LETTER})\s+(?={_LETTER}(?!\w))"
 )
 _SPACED_LETTERS = r"(?iU)(?<!\w)(?:[a-záéíóúüñ]\s+){2,}[a-záéíóúüñ](?!\w)"
+# ASCII-only test that every such run passes
+_MAYBE_SPACED = r"(?:^|\W)(?:[A-Za-z]|[^\x00-\x7F])\s+(?:[A-Za-z]|[^\x00-\x7F])\s+(?:[A-Za-z]|[^\x00-\x7F])(?:\W|$)"
 _TOKEN_EDGE = r"(?U)(?<=[^\w-])|(?=[^\w-])"
 _LEET_TOKEN = r"[013457][0-9]*[A-Za-z_-]|[A-Za-z_-][0-9]*[013457]"
 
 
+_BLANKS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
 def _leet_tokens(text: Column) -> Column:
     def plain(token: Column) -> Column:
         ours = token.rlike("^[A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*$")
@@ -144,10 +207,11 @@ def _leet_tokens(text: Column) -> Column:
 def detection_view(text: Column) -> Column:
     """Text as a reader would understand it, whatever tricks hide the words."""
     view = fold(text, "detection")
-    view = F.regexp_replace(view, _SPACED_BLANKS, "")
+    view = let(view, lambda v: F.when(
+        v.rlike(_MAYBE_SPACED), F.regexp_replace(v, _SPACED_BLANKS, "")).otherwise(v))
     view = _leet_tokens(view)
     view = F.regexp_replace(view, fixed.SPLIT_APP_NAME, "$1$2")
-    return casefold(F.trim(F.regexp_replace(view, r"(?U)\s+", " ")))
+    return casefold(F.trim(F.regexp_replace(view, _BLANKS, " ")))
 
 
 def obfuscations(text: Column) -> Column:
@@ -167,11 +231,13 @@ def obfuscations(text: Column) -> Column:
             & spelled.rlike("|".join(fixed.SENSITIVE_LEET_TERMS))
         )
 
-    leet = F.when(text.rlike(r"[013457]"), F.exists(tokens, hides_term)).otherwise(F.lit(False))
+    mixed = r"[013457][0-9]*[A-Za-záéíóúüñÁÉÍÓÚÜÑ_-]|[A-Za-záéíóúüñÁÉÍÓÚÜÑ_-][0-9]*[013457]"
+    leet = F.when(text.rlike(mixed), F.exists(tokens, hides_term)).otherwise(F.lit(False))
+    foreign = F.octet_length(text) != F.char_length(text)
     return F.array_compact(F.array(
-        F.when(text.rlike(invisible), labels[0]),
-        F.when(text.rlike(f"[{fixed.CONFUSABLE_FROM}]"), labels[1]),
-        F.when(text.rlike(_SPACED_LETTERS), labels[2]),
+        F.when(foreign & text.rlike(invisible), labels[0]),
+        F.when(foreign & text.rlike(f"[{fixed.CONFUSABLE_FROM}]"), labels[1]),
+        F.when(text.rlike(_MAYBE_SPACED) & text.rlike(_SPACED_LETTERS), labels[2]),
         F.when(text.rlike(fixed.SPLIT_APP_NAME), labels[3]),
         F.when(leet, labels[4]),
     ))
@@ -204,9 +270,9 @@ def words_literal(value: str) -> str:
 def campaign_text(text: Column) -> Column:
     """Text with links and numbers neutralised, so that variants of one template agree."""
     view = casefold(fold(text, "campaign"))
-    view = F.regexp_replace(view, r"(?U)https?://\S+|www\.\S+", " URL ")
-    view = F.regexp_replace(view, r"(?U)\d+", " N ")
-    return F.trim(F.regexp_replace(view, r"(?U)\s+", " "))
+    view = F.regexp_replace(view, r"(?:https?://|www\.)(?U:\S+)", " URL ")
+    view = F.regexp_replace(view, r"\p{Nd}+", " N ")
+    return F.trim(F.regexp_replace(view, _BLANKS, " "))
 
 
 def token_hash(word: Column) -> Column:

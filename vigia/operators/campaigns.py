@@ -55,7 +55,7 @@ def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
                  limits.phones),
             lambda p: F.regexp_replace(p, r"(?U)\D", "")), lambda p: p != ""),
         "_ibans": head(pii.valid_ibans(text), limits.ibans),
-        "_simhash": tx.simhash(pii.redact(text)),
+        "_simhash": tx.pin(tx.simhash(pii.redact(text))),
     })
     if redirects is not None:
         moved = redirects.groupBy("message_id").agg(
@@ -78,8 +78,8 @@ def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
                                   "value_public:string,source:string>>")),
     )
     return staged.select(
-        "message_id", *carry, F.explode(head(F.array_distinct(found), limits.total)).alias("a")
-    ).select("message_id", *carry, "a.*")
+        "message_id", *carry, F.explode_outer(head(F.array_distinct(found), limits.total)).alias("a")
+    ).where("a is not null").select("message_id", *carry, "a.*")
 
 
 def attach_campaign(artifacts: DataFrame, assignment: DataFrame, at: datetime) -> DataFrame:

@@ -12,10 +12,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigia import fixed, schemas as S
-from vigia.dims import ALIAS_REGISTRY_VERSION, Brand, SenderAlias, default_aliases, default_brands
-from vigia.dims import strings, structs
+from vigia.dims import ALIAS_REGISTRY_VERSION, SenderAlias, aliases_df
 from vigia.functions import pii, text as tx, urls as ur
-from vigia.functions.text import token_literal
 from vigia.operators.extract import is_alphanumeric_sender
 
 NO_FINDING = "Comprobación sin hallazgos."
@@ -56,7 +54,7 @@ def _json(**fields: Column) -> Column:
 def _text_flags() -> dict[str, Column]:
     """Pattern tests as columns of their own, so that each runs once per message."""
     action = F.col("requested_action")
-    says = lambda pattern: F.col("detection").rlike("(?U)" + pattern)
+    says = lambda pattern: F.col("detection").rlike(tx.quick(pattern, "(?U)"))
     return {
         "_remote": says(fixed.REMOTE_ACCESS),
         "_code": (action == S.ACTION_CODE) & says(fixed.SECURITY_CODE) & ~says(fixed.CODE_WARNING),
@@ -107,22 +105,18 @@ def _text_checks(probability: Column | None, threshold: float) -> list[Column]:
     ]
 
 
-def _alias_check(aliases: tuple[SenderAlias, ...]) -> Column:
+def _with_alias_record(df: DataFrame, aliases: tuple[SenderAlias, ...]) -> DataFrame:
+    """Adds ``_record``, the registry row of the sender (the registry is a small dimension)."""
+    rows = aliases_df(df.sparkSession, aliases)
+    record = F.struct(*[c for c in rows.columns if c != "alias_token"]).alias("_record")
+    sender = tx.token(F.trim(F.coalesce("sender_alias", "sender_number")))
+    return df.withColumn("alias_token", sender).join(
+        F.broadcast(rows.select("alias_token", record)), "alias_token", "left").drop("alias_token")
+
+
+def _alias_check() -> Column:
     """Registered sender aliases: mismatch with the claimed brand, verified, or unknown."""
-    sender = F.trim(F.coalesce("sender_alias", "sender_number"))
-    by_token: dict[str, SenderAlias] = {}
-    for alias in aliases:
-        by_token.setdefault(token_literal(alias.alias), alias)
-    active = {t: a for t, a in by_token.items() if a.status == "active"}
-    table = structs(
-        [{"holder": a.holder, "tax_id": a.tax_id, "category": a.category,
-          "activation_date": a.activation_date, "authorized": a.authorized,
-          "authorized_tokens": [token_literal(n) for n in a.authorized],
-          "holder_token": token_literal(a.holder)} for a in active.values()],
-        "holder:string,tax_id:string,category:string,activation_date:string,"
-        "authorized:array<string>,authorized_tokens:array<string>,holder_token:string")
-    place = F.array_position(strings(active), tx.token(sender)).cast("int")
-    record = F.when(place > 0, F.element_at(table, place))
+    sender, record = F.trim(F.coalesce("sender_alias", "sender_number")), F.col("_record")
     claimed = F.col("claimed_entity")
     tokens = F.array_union(
         F.array(tx.token(claimed)),
@@ -138,14 +132,14 @@ def _alias_check(aliases: tuple[SenderAlias, ...]) -> Column:
             source=source, version=version,
             value=_json(sender_alias=sender, registered_holder=record["holder"],
                         registered_cif=record["tax_id"], claimed_entity=claimed,
-                        authorized_entities=record["authorized"], category=record["category"]),
+                        authorized_entities=record["authorized"], category=record["alias_category"]),
             summary=F.concat(F.lit("Suplantación probada: el remitente '"), sender,
                              F.lit("' está registrado en la CNMC a nombre de "), record["holder"],
                              F.lit(", no de "), claimed, F.lit("."))))
         .when(verified, signal(
             "cnmc_alias_verified", verified, source=source, version=version,
             value=_json(sender_alias=sender, registered_holder=record["holder"],
-                        registered_cif=record["tax_id"], category=record["category"],
+                        registered_cif=record["tax_id"], category=record["alias_category"],
                         activation_date=record["activation_date"]),
             summary=F.concat(F.lit("El remitente '"), sender,
                              F.lit("' es un alias oficial registrado en la CNMC a nombre de "),
@@ -178,7 +172,7 @@ def _sender_checks(aliases: tuple[SenderAlias, ...] | None) -> list[Column]:
             value=F.col("sender_number"),
             summary="Dice ser un banco, pero llega desde un número móvil y pide actuar."))
         ).otherwise(none),
-        _alias_check(aliases) if aliases else none,
+        _alias_check() if aliases else none,
         F.array(
             signal("urgency_language", hurried, weight=15, severity=S.WARNING,
                    value=F.to_json("urgency_markers"),
@@ -301,13 +295,15 @@ def local_evidence(
     staged = facts.withColumns({
         "obfuscations": tx.obfuscations(F.col(body)),
         "personal_data": pii.sensitive_types(F.col(body)),
-        **_text_flags(),
+        **{name: tx.pin(flag) for name, flag in _text_flags().items()},
     })
+    if aliases:
+        staged = _with_alias_record(staged, aliases)
     links = F.flatten(F.transform("links", lambda link: _link_checks(link, typo)))
     model = F.col(probability) if probability else None
-    return staged.withColumn("signals", F.concat(
-        F.array(*_text_checks(model, ml_threshold)), links, *_sender_checks(aliases))) \
-        .drop(*_text_flags())
+    return staged.withColumn("signals", tx.pin(F.concat(
+        F.array(*_text_checks(model, ml_threshold)), links, *_sender_checks(aliases)))) \
+        .drop("_record", *_text_flags())
 
 
 def type_evidence(df: DataFrame) -> DataFrame:
@@ -316,7 +312,7 @@ def type_evidence(df: DataFrame) -> DataFrame:
         "message_type_classifier", F.lit(True), source="local_message_type", version="1",
         value=_json(type=F.col("message_type"), confidence=F.col("message_type_confidence")),
         summary=F.concat(F.lit("Tipo estimado: "), F.col("message_type"), F.lit(".")))
-    return df.withColumn("signals", F.array_append("signals", row))
+    return df.withColumn("signals", tx.pin(F.array_append("signals", row)))
 
 
 # --- checks on collected facts -----------------------------------------------------------------
@@ -468,5 +464,5 @@ def attach(messages: DataFrame, *evidence: DataFrame, key: str = "message_id") -
 
 def evidence_rows(scored: DataFrame, key: str = "message_id") -> DataFrame:
     """The long evidence table: one row per message and check."""
-    return scored.select(key, F.posexplode("signals").alias("ordinal", "signal")).select(
-        key, "ordinal", "signal.*")
+    return scored.select(key, F.posexplode_outer("signals").alias("ordinal", "signal")).where(
+        "ordinal is not null").select(key, "ordinal", "signal.*")

@@ -12,14 +12,14 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigia import fixed, schemas as S
-from vigia.dims import Brand, alias_forms, brand_structs, default_brands, strings
+from vigia.dims import Brand, alias_forms, brands_df, default_brands, strings
 from vigia.functions import hashing, pii, text as tx, urls as ur
 
 
 def normalise_text(df: DataFrame, column: str) -> DataFrame:
     """Adds ``detection`` and ``obfuscations``."""
     return df.withColumns({
-        "detection": tx.detection_view(F.col(column)),
+        "detection": tx.pin(tx.detection_view(F.col(column))),
         "obfuscations": tx.obfuscations(F.col(column)),
     })
 
@@ -40,14 +40,14 @@ def personal_data(df: DataFrame, column: str) -> DataFrame:
 def pii_inventory(df: DataFrame, column: str, by: str = "lang") -> DataFrame:
     """Messages per kind of personal data and language."""
     return (
-        df.select(by, F.explode(pii.sensitive_types(F.col(column))).alias("kind"))
-        .groupBy("kind", by).agg(F.count("*").alias("messages"))
+        df.select(by, F.explode_outer(pii.sensitive_types(F.col(column))).alias("kind"))
+        .where("kind is not null").groupBy("kind", by).agg(F.count("*").alias("messages"))
     )
 
 
 def fingerprint(df: DataFrame, column: str, bands: int = 4) -> DataFrame:
     """Adds ``simhash`` and ``bands``."""
-    return df.withColumn("simhash", tx.simhash(F.col(column))) \
+    return df.withColumn("simhash", tx.pin(tx.simhash(F.col(column)))) \
         .withColumn("bands", tx.bands(F.col("simhash"), bands))
 
 
@@ -56,7 +56,7 @@ def requested_action(detection: Column) -> Column:
     text itself warns against ("no compartas") does not count."""
     ladder = None
     for action, pattern in fixed.ACTIONS:
-        pattern = "(?U)" + pattern
+        pattern = tx.quick(pattern, "(?U)")
         present = detection.rlike(pattern)
         if action == S.ACTION_CODE:
             before = F.regexp_extract(detection, rf"(?s)^(.*?)(?:{pattern})", 1)
@@ -76,13 +76,14 @@ def urgency_markers(detection: Column) -> Column:
 
 
 def claimed_brand(detection: Column, brands: tuple[Brand, ...]) -> Column:
-    """Brand struct of the longest alias present as a whole word (the first one on ties).
+    """Position of the brand whose longest alias is present as a whole word (the first one on ties).
 
     One pass of a single alternation, longest alias first, tried at every word start; a zero-width
     match keeps overlapping aliases apart.
     """
     forms = alias_forms(brands)
-    pattern = r"(?U)(?<!\w)(?=(" + "|".join(
+    letters = "".join(sorted({alias[0] for alias, _ in forms}))
+    pattern = rf"(?=[{letters}])(?U)(?<!\w)(?=(" + "|".join(
         _java_quote(alias) for alias, _ in forms) + r")(?!\w))"
     aliases = strings(alias for alias, _ in forms)
     owners = F.from_json(F.lit(json.dumps([i for _, i in forms])), "array<int>")
@@ -90,8 +91,7 @@ def claimed_brand(detection: Column, brands: tuple[Brand, ...]) -> Column:
     ranked = F.transform(found, lambda a: F.struct(
         F.char_length(a).alias("size"),
         (-F.element_at(owners, F.array_position(aliases, a).cast("int"))).alias("rank")))
-    return tx.let(F.array_max(ranked), lambda best: F.when(
-        best.isNotNull(), F.element_at(brand_structs(brands), F.lit(1) - best["rank"])))
+    return -F.array_max(ranked)["rank"]
 
 
 def _java_quote(literal: str) -> str:
@@ -107,20 +107,28 @@ def extract_facts(
     who = F.nullif(F.col(sender), F.lit(""))
     is_number = F.replace(who, F.lit(" "), F.lit("")).rlike(r"\d{6,}")
     return (
-        df.withColumn("detection", tx.detection_view(F.col(body)))
+        df.withColumn("detection", tx.pin(tx.detection_view(F.col(body))))
         .withColumns({
             "urls": ur.extract_urls(F.col(body)),
             "requested_action": requested_action(F.col("detection")),
             "urgency_markers": urgency_markers(F.col("detection")),
             "sender_number": F.when(is_number, who),
             "sender_alias": F.when(~is_number, who),
-            "brand": claimed_brand(F.col("detection"), brands or default_brands()),
+            "brand_order": claimed_brand(F.col("detection"), brands or default_brands()),
             "qr_payload_types": F.array().cast("array<string>"),
         })
-        .withColumn("claimed_entity", F.col("brand.entity"))
+        # the brand table is checked to be small when it is loaded
+        .join(F.broadcast(brand_rows(df.sparkSession, brands)), "brand_order", "left")
+        .withColumn("claimed_entity", F.col("brand.entity")).drop("brand_order")
     )
 
 
+def brand_rows(spark, brands: tuple[Brand, ...] | None = None) -> DataFrame:
+    """(brand_order, brand): what the checks on a claimed brand need."""
+    return brands_df(spark, brands).select("brand_order", F.struct(
+        "entity", "category", "tokens", "official_domains", "official_labels").alias("brand"))
+
+
 def merge_extractions(base: DataFrame, extra: DataFrame, key: str = "message_id") -> DataFrame:
     """Facts from a second extractor complete the first: its scalars win when present, arrays are
     united with the base rows first."""
@@ -190,8 +198,8 @@ def classify(df: DataFrame, body: str = "body") -> DataFrame:
     never part of the verdict."""
     raw = F.coalesce(F.col(body), F.lit(""))
     tones = F.array_compact(F.array(*[
-        F.when(raw.rlike("(?iU)" + pattern), label) for label, pattern in fixed.COMMERCIAL]))
-    staged = df.withColumn("_tones", tones)
+        F.when(raw.rlike(tx.quick(pattern, "(?iU)")), label) for label, pattern in fixed.COMMERCIAL]))
+    staged = df.withColumn("_tones", tx.pin(tones))
     sensitive = F.col("requested_action").isin(
         S.ACTION_CODE, S.ACTION_CREDENTIALS, S.ACTION_TRANSFER, S.ACTION_INSTALL)
     has_urls = F.size("urls") > 0
@@ -199,15 +207,15 @@ def classify(df: DataFrame, body: str = "body") -> DataFrame:
     brand_link = F.col("claimed_entity").isNotNull() & has_urls
     spam = (F.size("_tones") > 0) & ~sensitive & ~brand_link
     suspicious = sensitive | hurried | brand_link
-    transactional = raw.rlike("(?iU)" + fixed.TRANSACTIONAL)
-    delivery = raw.rlike("(?iU)" + fixed.DELIVERY)
-    personal = raw.rlike("(?iU)" + fixed.PERSONAL) & ~has_urls
+    transactional = raw.rlike(tx.quick(fixed.TRANSACTIONAL, "(?iU)"))
+    delivery = raw.rlike(tx.quick(fixed.DELIVERY, "(?iU)"))
+    personal = raw.rlike(tx.quick(fixed.PERSONAL, "(?iU)")) & ~has_urls
     kind = (
         F.when(spam, S.TYPE_SPAM).when(suspicious, S.TYPE_PHISHING)
         .when(transactional, S.TYPE_TRANSACTIONAL).when(personal, S.TYPE_PERSONAL)
         .otherwise(S.TYPE_UNKNOWN)
     )
-    staged = staged.withColumn("message_type", kind)
+    staged = staged.withColumn("message_type", tx.pin(kind))
     is_kind = lambda value: F.col("message_type") == value
     confidence = (
         F.when(is_kind(S.TYPE_SPAM), F.least(F.lit(0.94), F.lit(0.62) + F.lit(0.10) * F.size("_tones")))
@@ -250,7 +258,7 @@ def link_structs(df: DataFrame, urls: str = "urls") -> DataFrame:
         return F.struct(url.alias("url"), host.alias("host"), domain.alias("domain"),
                         shown.alias("shown_domain"))
 
-    return with_names.withColumn("links", F.transform(urls, link)).drop("_hosts", "_names")
+    return with_names.withColumn("links", tx.pin(F.transform(urls, link))).drop("_hosts", "_names")
 
 
 def url_facts(df: DataFrame, key: str = "message_id") -> DataFrame:
@@ -273,10 +281,10 @@ def url_facts(df: DataFrame, key: str = "message_id") -> DataFrame:
 def match_brands(df: DataFrame, domain: str = "domain", claimed: str = "claimed_entity",
                  brands: tuple[Brand, ...] | None = None) -> DataFrame:
     """Adds the claimed brand's data: official flag, closest similarity, official contacts."""
-    table = brand_structs(brands or default_brands())
-    wanted = tx.token(F.col(claimed))
-    staged = df.withColumn("_brand", F.try_element_at(
-        F.filter(table, lambda b: F.array_contains(b["tokens"], wanted)), F.lit(1)))
+    known = brand_rows(df.sparkSession, brands).withColumn("_token", F.explode("brand.tokens")) \
+        .groupBy("_token").agg(F.min_by("brand", "brand_order").alias("_brand"))
+    staged = df.withColumn("_token", tx.token(F.col(claimed))) \
+        .join(F.broadcast(known), "_token", "left").drop("_token")
     official = F.exists(
         ur.suffix_candidates(F.col(domain)),
         lambda d: F.array_contains(F.col("_brand.official_domains"), d))
@@ -292,9 +300,7 @@ def match_brands(df: DataFrame, domain: str = "domain", claimed: str = "claimed_
 def official_contacts(df: DataFrame, brands: tuple[Brand, ...] | None = None,
                       claimed: str = "claimed_entity") -> DataFrame:
     """Adds ``official_verification`` for the claimed brand when it publishes any contact."""
-    chosen = brands or default_brands()
-    from vigia.dims import brands_df
-    contacts = brands_df(df.sparkSession, chosen).select(
+    contacts = brands_df(df.sparkSession, brands).select(
         F.explode("tokens").alias("_token"), "brand_order",
         F.struct(F.col("entity").alias("entity_name"), "official_numbers", "official_domains")
         .alias("official_verification"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigia import fixed, schemas as S
+from vigia.functions.text import pin
 
 
 def _family(check: Column) -> Column:
@@ -24,15 +25,15 @@ def suppress(df: DataFrame) -> DataFrame:
     shared = F.transform(
         F.filter("signals", lambda s: hit(s) & (s["check_name"] == "shared_infrastructure_context")
                  & s["domain"].isNotNull()), lambda s: s["domain"])
-    staged = df.withColumn("_shared", shared)
+    staged = df.withColumn("_shared", pin(shared))
 
     def calm(s: Column) -> Column:
         noisy = hit(s) & s["check_name"].isin(*fixed.SUPPRESSIBLE) \
             & F.array_contains(F.col("_shared"), s["domain"])
         return s.withField("status", F.when(noisy, S.SUPPRESSED).otherwise(s["status"]))
 
-    return staged.withColumn("signals", F.when(
-        F.size("_shared") > 0, F.transform("signals", calm)).otherwise(F.col("signals")))
+    return staged.withColumn("signals", pin(F.when(
+        F.size("_shared") > 0, F.transform("signals", calm)).otherwise(F.col("signals"))))
 
 
 def family_weights(df: DataFrame) -> DataFrame:
@@ -41,18 +42,18 @@ def family_weights(df: DataFrame) -> DataFrame:
     pairs = F.transform(hits, lambda s: F.struct(
         _family(s["check_name"]).alias("family"),
         F.greatest(s["weight"], F.lit(0)).alias("weight")))
-    staged = df.withColumn("_pairs", pairs)
+    staged = df.withColumn("_pairs", pin(pairs))
     names = F.array_distinct(F.transform("_pairs", lambda p: p["family"]))
     best = F.transform(names, lambda n: F.array_max(F.transform(
         F.filter("_pairs", lambda p: p["family"] == n), lambda p: p["weight"])))
-    return staged.withColumn("family_weights", F.map_from_arrays(names, best)).drop("_pairs")
+    return staged.withColumn("family_weights", pin(F.map_from_arrays(names, best))).drop("_pairs")
 
 
 def decide(df: DataFrame, ruleset_version: str = S.RULESET_VERSION,
            scam_score: int = S.SCAM_SCORE) -> DataFrame:
     """Adds score, hard_rule, level, confidence, reasons and rule_trace."""
     staged = family_weights(suppress(df)).withColumns({
-        "_hits": F.filter("signals", lambda s: s["status"] == S.HIT),
+        "_hits": pin(F.filter("signals", lambda s: s["status"] == S.HIT)),
         "score": F.least(F.lit(100), F.aggregate(
             F.map_values("family_weights"), F.lit(0), lambda a, w: a + w)),
     })
@@ -99,9 +100,9 @@ def decide(df: DataFrame, ruleset_version: str = S.RULESET_VERSION,
     )
     return staged.withColumns({
         "confidence": confidence,
-        "reasons": F.when(F.size(reasons) > 0, reasons).otherwise(
-            F.array(F.lit(fixed.DEFAULT_REASON))),
-        "rule_trace": trace,
+        "reasons": pin(F.when(F.size(reasons) > 0, reasons).otherwise(
+            F.array(F.lit(fixed.DEFAULT_REASON)))),
+        "rule_trace": pin(trace),
     }).drop("_hits", "_shared")
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from vigia import schemas as S
 from vigia.dims import Brand, SenderAlias
-from vigia.operators import evidence, extract, scoring
+from vigia.functions import pii, text, urls
+from vigia.operators import campaigns, evidence, extract, intel, scoring
 
 
 @dataclass(frozen=True)
@@ -45,3 +47,58 @@ def score_messages(messages: DataFrame, *joined_evidence: DataFrame,
 
 def judge(read: DataFrame, options: ScoreOptions = ScoreOptions()) -> DataFrame:
     return scoring.advise(scoring.decide(read, options.ruleset_version, options.scam_score))
+
+
+# --- against the stored tables ------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class Store:
+    """Tables that joined evidence reads; leave out what a site does not have."""
+
+    indicators: DataFrame | None = None
+    snapshots: DataFrame | None = None
+    artifacts: DataFrame | None = None
+    campaigns: DataFrame | None = None
+    domain_facts: DataFrame | None = None
+    redirect_facts: DataFrame | None = None
+    hash_list: DataFrame | None = None
+    page_scans: DataFrame | None = None
+
+
+def links_of(messages: DataFrame, body: str = "body") -> DataFrame:
+    """Link facts straight from the bodies: only link extraction runs, no other text work."""
+    return extract.url_facts(messages.select(
+        "message_id", urls.extract_urls(F.col(body)).alias("urls")))
+
+
+def score_against_store(messages: DataFrame, store: Store, now: datetime, pepper: bytes, *,
+                        options: ScoreOptions = ScoreOptions(), consensus: int = S.PROVIDER_CONSENSUS,
+                        window_days: int = S.CAMPAIGN_WINDOW_DAYS,
+                        min_types: int = S.MIN_ARTIFACT_TYPES) -> DataFrame:
+    """Verdicts with all evidence that the stored tables can give. Each source contributes only the
+    messages it matched; they meet the batch in one join on the message id."""
+    read = read_messages(messages, options)
+    joined: list[DataFrame] = []
+    if store.domain_facts is not None and store.redirect_facts is not None:
+        joined.append(evidence.network_evidence(
+            read, store.domain_facts, store.redirect_facts, now))
+    if store.indicators is not None and store.snapshots is not None:
+        joined.append(intel.reputation_evidence(
+            links_of(messages), store.indicators, store.snapshots, now, consensus=consensus))
+    else:
+        joined.append(intel.shared_platform_evidence(links_of(messages)))
+    if store.hash_list is not None:
+        joined.append(evidence.hash_list_evidence(links_of(messages), store.hash_list))
+    if store.page_scans is not None:
+        joined.append(evidence.page_evidence(read, store.page_scans))
+    if store.campaigns is not None:
+        if store.artifacts is not None:
+            found = campaigns.build_artifacts(read, pepper)
+            joined.append(campaigns.artifact_evidence(campaigns.match_artifacts(
+                found, store.artifacts, store.campaigns, now, window_days=window_days,
+                min_types=min_types)))
+        prints = messages.select("message_id", text.pin(text.simhash(pii.redact(F.col("body"))))
+                                 .alias("simhash"))
+        joined.append(campaigns.text_evidence(campaigns.match_texts(
+            prints, store.campaigns, now, window_days=window_days)))
+    return judge(evidence.attach(read, *joined), options)

@@ -1,5 +1,5 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from checks import score, text
+from checks import score, store, text
 
-REGISTRY = {**text.QUERIES, **score.QUERIES}
+REGISTRY = {**text.QUERIES, **score.QUERIES, **store.QUERIES}

@@ -340,9 +340,14 @@ def network_evidence(
     rows = first_domains(linked, budget)
     joined = rows.join(domain_facts.withColumn("_dom", F.lit(True)), "domain", "left") \
         .join(redirect_facts.withColumn("_red", F.lit(True)), "url", "left")
-    seconds = lambda c: F.unix_timestamp(F.lit(now)) - F.unix_timestamp(c)
-    age = F.greatest(F.lit(0), F.floor(seconds("registered_at") / 86400)).cast("int")
-    tls = F.greatest(F.lit(0), F.floor(seconds("cert_issued_at") / 86400)).cast("int")
+
+    def days_since(column: str) -> Column:
+        seconds = F.unix_timestamp(F.lit(now)) - F.unix_timestamp(column)
+        # null stays null: greatest() alone would turn a missing date into age 0
+        return F.when(F.col(column).isNotNull(),
+                      F.greatest(F.lit(0), F.floor(seconds / 86400)).cast("int"))
+
+    age, tls = days_since("registered_at"), days_since("cert_issued_at")
     ip = ur.is_ip(F.col("domain"))
     young_hard = F.col("brand").isNotNull() & (age < 14)
     official_final = F.exists(

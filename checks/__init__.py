@@ -1,5 +1,5 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from checks import corpus, score, store, text
+from checks import corpus, score, store, streams, text
 
-REGISTRY = {**text.QUERIES, **score.QUERIES, **store.QUERIES, **corpus.QUERIES}
+REGISTRY = {**text.QUERIES, **score.QUERIES, **store.QUERIES, **corpus.QUERIES, **streams.QUERIES}

@@ -124,11 +124,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         seed, id_bits = seed + 1, min(64, id_bits * 2)
     order = F.struct("n_points", (-F.col("doc_id")).alias("id"), (-F.col("row_no")).alias("row"))
-    groups = made.groupBy("recipe_key", "recipe").agg(F.max(order).alias("best"), F.count("*").alias("group_size"))
-    return (made.join(groups, ["recipe_key", "recipe"])
-            .select("doc_id", (-F.col("best.id")).alias("keep_id"), "group_size",
-                    (F.col("row_no") == -F.col("best.row")).alias("kept"), "text_sha256", "n_points",
-                    F.size("recipe").alias("n_chunks"), "row_no", "text_xx"))
+    # copies are counted before they are shuffled; texts of their own never meet the join
+    groups = stage(made.groupBy("recipe_key", "recipe").agg(
+        F.max(order).alias("best"), F.count("*").alias("group_size")).where("group_size > 1"), "groups")
+    many = F.col("group_size").isNotNull()
+    return made.join(groups, ["recipe_key", "recipe"], "left").select(
+        "doc_id", F.when(many, -F.col("best.id")).otherwise(F.col("doc_id")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce(F.col("row_no") == -F.col("best.row"), F.lit(True)).alias("kept"), "text_sha256", "n_points",
+        F.size("recipe").alias("n_chunks"), "row_no", "text_xx")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vigia.llm.common import stage
 
 LEVELS = ("domain", "lang", "source")
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 
 
 def words(text: str | Column) -> Column:

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigia.llm import exact, mixing, shards, urlrules
+from vigia.llm import exact, mixing, ngrams, ordinal, shards, toxicity, urlrules
 from vigia.llm.common import table
 
+# ---------------------------------------------------------------- 1 quality rules
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures, perplexity band and verdict of every document."""
+    return ngrams.quality_rules(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 3 mixing
 
 MIX_SEED, MIX_EPOCHS, MIX_PERCENT = 7, 3, 60
@@ -121,6 +129,23 @@ select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition b
   row_number() over w = 1 as kept, text_sha256
 from h window w as (partition by text_sha256 order by n desc, doc_id nulls last)"""
 
+# ---------------------------------------------------------------- 8 quality classifier
+
+KEEP_FROM = 0.5  # a document stays if its grade is 1 or more with this probability
+
+
+def quality_rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return ordinal.rate(docs, ordinal.train(docs, ordinal.graded(labels), 3))
+
+
+def op8_quality_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and verdict of every document."""
+    rated = quality_rated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    tails = F.col("__tails")
+    return rated.select("doc_id", F.col("__expected").alias("expected_grade"), tails[0].alias("p_grade_1"),
+                        tails[1].alias("p_grade_2"), (tails[0] >= KEEP_FROM).alias("kept"))
+
+
 # ---------------------------------------------------------------- 9 shards
 
 
@@ -129,9 +154,20 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), 40)
 
 
+# ---------------------------------------------------------------- 10 toxicity
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned outside the held-out fold."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_quality_rules": (op1_quality_rules, None),
     "op3_source_mix": (op3_source_mix, OP3_SQL),
     "op4_url_rules": (op4_url_rules, _url_rules_sql()),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
+    "op8_quality_grades": (op8_quality_grades, None),
     "op9_sharding": (op9_sharding, None),
+    "op10_toxicity": (op10_toxicity, None),
 }

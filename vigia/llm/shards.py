@@ -110,9 +110,9 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     while open_ := ranges.undecided(shards):
         # as many ranges at once as keep the answer bounded; the rest waits for a narrower bracket
         open_ = set(open_[:RANGES // 16])
-        spans = [(r[0], r[1], max(1, -(-(r[1] - r[0] + 1) // 16))) for r in (ranges.rows[i] for i in open_)]
-        inside = groups.join(F.broadcast(groups.sparkSession.createDataFrame(
-            spans, "a long, b long, step long")), F.expr("key between a and b"))
+        spans = [(r[0] >> shift, r[0], r[1], max(1, -(-(r[1] - r[0] + 1) // 16))) for r in (ranges.rows[i] for i in open_)]
+        inside = groups.withColumn("block", block).join(F.broadcast(groups.sparkSession.createDataFrame(
+            spans, "block long, a long, b long, step long")), "block").where("key between a and b")
         part = F.expr("a + step * ((key - a) div step)")
         finer = _rows(_summed(inside, part, F.expr("least(b, a + step * ((key - a) div step) + step - 1)")))
         ranges = Ranges([r for i, r in enumerate(ranges.rows) if i not in open_] + finer)

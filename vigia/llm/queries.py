@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigia.llm import exact, mixing, ngrams, ordinal, shards, toxicity, urlrules
+from vigia.llm import exact, mixing, ngrams, ordinal, shards, tokens, toxicity, urlrules
 from vigia.llm.common import table
 
 # ---------------------------------------------------------------- 1 quality rules
@@ -15,6 +17,35 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.quality_rules(table(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- 2 pieces
+
+#: Folder of public tokenizer files; read by the driver only.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PIECE_FILE = "piece_bpe_32k.model"
+
+
+def vocabulary() -> tokens.Vocabulary:
+    with open(os.path.join(TOKENIZERS, PIECE_FILE), "rb") as file:
+        return tokens.Vocabulary(file.read())
+
+
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """One row for each document: token count, chunks, digest of the ids, and whether they decode to the text."""
+    v = vocabulary()
+    rows = tokens.encode(docs, v)
+    checked = rows.select(
+        "row_no", "doc_id", "chunk", F.size("ids").alias("n"), F.xxhash64("chunk", "ids").alias("h"),
+        (F.crc32(tokens.decode_column(v, rows)) == F.col("source_crc")).alias("same"))
+    return checked.groupBy("row_no", "doc_id").agg(
+        F.sum("n").alias("n_tokens"), (F.max("chunk") + 1).alias("n_chunks"), F.bit_xor("h").alias("ids_digest"),
+        F.bool_and("same").alias("round_trip")).drop("row_no")
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return encoded_documents(table(spark, sf_dir, "documents"))
+
+
 # ---------------------------------------------------------------- 3 mixing
 
 MIX_SEED, MIX_EPOCHS, MIX_PERCENT = 7, 3, 60
@@ -164,6 +195,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
+    "op2_pieces": (op2_pieces, None),
     "op3_source_mix": (op3_source_mix, OP3_SQL),
     "op4_url_rules": (op4_url_rules, _url_rules_sql()),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),

@@ -201,7 +201,7 @@ def learn_lexicon(rated: DataFrame) -> dict[str, float]:
     p = F.col("t") / (F.col("t") + F.col("n"))
     gain = F.col("t") * F.log(p / prior) + F.when(F.col("n") > 0, F.col("n") * F.log((1 - p) / (1 - prior))).otherwise(0)
     odds = F.log(((F.col("t") + 0.5) / (t_all + 1)) / ((F.col("n") + 0.5) / (n_all + 1)))
-    kept = (counts.where("t >= 3").withColumn("p", p).where("p > 0.5")
+    kept = (counts.where("t >= 3").withColumn("p", p).where(F.col("p") > min(0.5, 3 * prior))
             .select("term", gain.alias("gain"), odds.alias("odds"))
             .orderBy(F.desc("gain"), "term").limit(MAX_LEXICON).collect())
     bar = math.log(max(10, (t_all + n_all) * 100)) + 3

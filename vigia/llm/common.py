@@ -6,6 +6,7 @@ the offset at which each row begins. Null texts are empty rows.
 
 from __future__ import annotations
 
+import atexit
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -29,6 +30,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    if not _scratch:
+        atexit.register(_clear_at_exit, spark)
     _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,6 +45,30 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    try:
+        clear_scratch(spark)
+    except Exception:  # the session may be gone; the folder's owner cleans up then
+        pass
+
+
+def keep_rows(docs: DataFrame, stays: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, text_xx) is in ``stays``, with all their columns; one each of the
+    (doc_id, text_xx) in ``repeated``, which are rows that occur more than once."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumns({"__own_xx": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))),
+                               "__own_id": F.col(id_col).cast("long")})
+    keys = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("text_xx").alias("__xx"))
+    same = F.expr("__own_id <=> __id and __own_xx = __xx")
+    kept = marked.join(keys(stays), same, "left_semi")
+    repeated = stage(keys(repeated), "repeated")
+    if repeated.isEmpty():
+        return kept.select(*own)
+    once = kept.join(repeated, same, "left_anti")
+    more = kept.join(repeated, same, "left_semi").dropDuplicates(["__own_id", "__own_xx"])
+    return once.unionByName(more).select(*own)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigia.llm.common import (SPACE, BitFilter, Prefix, bit_filter, code_points, keyed, mix, per_piece, raw, stage)
+from vigia.llm.common import (SPACE, BitFilter, Prefix, bit_filter, code_points, keep_rows, keyed, mix, per_piece, raw, stage)
 
 AVERAGE_CHUNK = 2048
 WINDOW = 32
@@ -74,7 +74,7 @@ def _cut(text: pa.Array, seed: int, id_bits: int):
 def recipes(docs: DataFrame, seed: int = 0, id_bits: int = 64) -> DataFrame:
     """One narrow row for each input row: code points, digest of the normalised text, recipe."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), "doc_id",
-                       F.xxhash64("text").alias("text_xx"), "text")
+                       F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_xx"), "text")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, at, points, _, _, _, ids, first, keys = _cut(batch.column("text"), seed, id_bits)
@@ -137,9 +137,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row of each group of equal texts."""
-    stays = exact_groups(docs, id_col, text_col).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_xx").alias("__xx"))
-    marked = docs.withColumns({"__own_xx": F.xxhash64(F.col(text_col).cast("string")),
-                               "__own_id": F.col(id_col).cast("long")})
-    both = marked.join(stays, F.expr("__own_id <=> __id and __own_xx = __xx"))
-    return both.dropDuplicates(["__own_id", "__own_xx"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stage(exact_groups(docs, id_col, text_col).select("doc_id", "text_xx", "kept"), "kept")
+    repeated = rows.groupBy("doc_id", "text_xx").count().where("count > 1")
+    return keep_rows(docs, rows.where("kept"), repeated, id_col, text_col)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigia.llm import exact, mixing, ngrams, ordinal, shards, tokens, toxicity, urlrules
+from vigia.llm import exact, mixing, ngrams, ordinal, repeats, shards, similar, tokens, toxicity, urlrules
 from vigia.llm.common import table
 
 # ---------------------------------------------------------------- 1 quality rules
@@ -144,6 +144,23 @@ r as (select *, case {fits} end as rule from p)
 select page_id, host, path, rule, coalesce(case rule {verdicts} end, 'allow') as verdict from r"""
 
 
+# ---------------------------------------------------------------- 5 repeated passages
+
+
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to passages of 400 bytes that start anywhere else."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- 6 similar documents
+
+
+def op6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of 4-word shingle similarity 0.85."""
+    return similar.similar_components(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 # ---------------------------------------------------------------- 7 exact duplicates
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,6 +215,8 @@ QUERIES = {
     "op2_pieces": (op2_pieces, None),
     "op3_source_mix": (op3_source_mix, OP3_SQL),
     "op4_url_rules": (op4_url_rules, _url_rules_sql()),
+    "op5_repeats": (op5_repeats, None),
+    "op6_similar": (op6_similar, None),
     "op7_exact_dedup": (op7_exact_dedup, OP7_SQL),
     "op8_quality_grades": (op8_quality_grades, None),
     "op9_sharding": (op9_sharding, None),

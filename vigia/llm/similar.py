@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from vigia.llm.common import LOWER, Prefix, bit_filter, keep_rows, mix, per_piece, raw, stage, word_spans
 
 SIGNATURES = 8
-_LOWEST = F.expr("struct(doc_id is null as none, doc_id, row_no)")
+_LOWEST = "min(struct(doc_id is null as none, doc_id, row_no))"
 BLOCK = 32
 HOT_GROUPS = 100
 
@@ -272,7 +272,7 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                        F.xxhash64(text).alias("tx"), text.alias("text"))
     all_ = stage(sketches(rows, words, percent), "sketches")
     classes = stage(all_.where("n > 0").groupBy("k1", "k2").agg(F.min("row_no").alias("cid"),
-                                                               F.min(_LOWEST).alias("lowest")), "classes")
+                                                               F.expr(_LOWEST).alias("lowest")), "classes")
     reps = all_.join(classes.select(F.col("cid").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "cid")
     # grouping by minima
     minima = reps.select("cid", F.posexplode("signature").alias("k", "v"))

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigia.session import ensure_checkpoint_dir
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
+BATCH_ROWS = 1_000  # rows that a Python worker gets at once; texts make a batch wide
 _scratch: list[str] = []
 
 
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back: lineage ends there, the plan knows
     the true size, and a lost executor costs nothing but a read."""
@@ -215,6 +220,8 @@ def per_piece(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
               column: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
     """``mapInArrow`` over slices of bounded text size."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, column, limit):

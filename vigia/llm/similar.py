@@ -1,36 +1,38 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with one shingle set are a class; classes are partitioned into groups of similar ones, each group
-keeps the union of its tokens, and a query opens a group only if the overlap of query and union can still
-reach the threshold.
-
-1. Grouping: classes that share a minimum under one of several hashes meet their bucket's first class; the
-   exact similarity decides, and connected classes are a group. A group of any size costs one comparison a
-   member.
-2. Bounds between groups: a set of n tokens keeps its ``n - o + l`` smallest token hashes (o: overlap it
-   needs with any partner, l: one more than a twentieth of n). Two linked sets share at least l of the
-   smaller one's, so only groups whose unions share that many tokens are compared. A token in more than
-   ``HOT_GROUPS`` groups (a very common line) does not vote; sets that could be linked through such tokens
-   alone have l of them, and vote among themselves.
-3. Opening: groups are stored as blocks of up to ``BLOCK`` sets with their token union. In a pair of blocks
-   each set is bounded against the other's union first; the sets that pass are compared exactly.
-
-Links between texts of one group add nothing to its component, so they are not enumerated; no link between
-different groups is lost.
+Documents with one shingle set are a class. Classes are partitioned into groups of similar ones, each group
+keeps the union of its tokens, a query's overlap with a union bounds its similarity with every member, and
+only groups that pass are opened.
+
+1. Seeds: classes that share a minimum under one of several hashes meet their bucket's first class; the
+   exact similarity decides, and connected classes get one label. A bucket of any size costs one comparison
+   a member.
+2. Bounds on whole classes, linear in the tokens. Linked sets of different labels share only tokens that
+   occur under several labels ("crossing"). A set of n tokens keeps its ``n - o + l`` smallest token hashes
+   (o: overlap it needs with any partner, l: one more than a twentieth of n); without l crossing tokens of
+   its size among them it has no partner. For the sets that pass, the same is asked of all their tokens: o
+   of them must cross. In an edited copy the edits cross nowhere, so most fall out here.
+3. The matrix: the remaining sets are partitioned by a minimum into groups of up to ``GROUP``, and a token
+   column of a group is set if the token is in a member's prefix, its ``n - o + 1`` rarest tokens. Groups
+   without a common column hold no link. For the others each query of one group is bounded by its overlap
+   with the other's union, and opens the group only if that reaches o; the exact similarity decides.
+
+Links under one label add nothing to its component, so they are not enumerated; no link between different
+labels is lost.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from vigia.llm.common import LOWER, Prefix, bit_filter, keep_rows, mix, per_piece, raw, stage, word_spans
+from vigia.llm.common import (
+    LOWER, BitFilter, Prefix, bit_filter, keep_rows, mix, per_piece, raw, small_batches, stage, word_spans)
 
 SIGNATURES = 8
 _LOWEST = "min(struct(doc_id is null as none, doc_id, row_no))"
-BLOCK = 32
-HOT_GROUPS = 100
+GROUP = 32
 
 
 def token_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,29 +128,31 @@ def linked_pairs(a: pa.Array, b: pa.Array, words: int, percent: int) -> np.ndarr
     return (shared > 0) & (100 * shared >= percent * (sa + sb - shared))
 
 
-def open_blocks(ids_a: list[int], texts_a: pa.Array, ids_b: list[int], texts_b: pa.Array, words: int,
-                percent: int) -> list[tuple[int, int]]:
-    """Links between two blocks, enough to connect all that are linked: a set of the first block is bounded
-    by its overlap with the second's token union, then its exact overlaps are counted through the matrix."""
-    ra, ta = token_sets(texts_a, words)
-    rb, tb = token_sets(texts_b, words)
+def open_group(p: list[pa.Array], q: list[pa.Array], words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between two groups (ids, labels, texts), enough to connect all that are linked. A query of the
+    first is bounded by its overlap with the second's token union; where it can reach its need, the second
+    is opened and its overlaps with all members are counted along the union's columns."""
+    ra, ta = token_sets(p[2], words)
+    rb, tb = token_sets(q[2], words)
+    ids_a, ids_b = p[0].to_pylist(), q[0].to_pylist()
+    label_a, label_b = np.asarray(p[1]), np.asarray(q[1])
     na, nb = np.bincount(ra, minlength=len(ids_a)), np.bincount(rb, minlength=len(ids_b))
-    union = np.unique(tb)
-    at = np.minimum(np.searchsorted(union, ta), max(len(union) - 1, 0))
-    inside = union[at] == ta if len(union) else np.zeros(len(ta), bool)
+    if not len(tb) or not len(ta):
+        return []
+    union, member = np.unique(tb, return_inverse=True)
+    at = np.minimum(np.searchsorted(union, ta), len(union) - 1)
+    inside = union[at] == ta
     bound = np.bincount(ra[inside], minlength=len(ids_a))
-    queries = np.flatnonzero((na > 0) & (bound >= needed(na, percent)))
+    first = np.searchsorted(ra, np.arange(len(ids_a) + 1))
     out = []
-    if not len(queries):
-        return out
-    member = np.searchsorted(union, tb)
-    for q in queries:  # the union's columns that the query has, summed over the members' rows
+    for x in np.flatnonzero((na > 0) & (bound >= needed(na, percent))):
         has = np.zeros(len(union), bool)
-        has[at[(ra == q) & inside]] = True
+        mine = slice(first[x], first[x + 1])
+        has[at[mine][inside[mine]]] = True
         shared = np.bincount(rb[has[member]], minlength=len(ids_b))
-        for s in np.flatnonzero((shared > 0) & (100 * shared >= percent * (na[q] + nb - shared))):
-            out.append((ids_a[q], ids_b[s]))
-    return out
+        linked = (shared > 0) & (100 * shared >= percent * (na[x] + nb - shared)) & (label_b != label_a[x])
+        out.extend((ids_a[x], ids_b[y]) for y in np.flatnonzero(linked))
+    return _spanning(out)
 
 
 def _spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -199,13 +203,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cid, text) of the wanted (cid, doc_id, tx): a bounded filter leaves the other texts where they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted.select("tx")))
-
-    @F.arrow_udf("boolean")
-    def near(tx: pa.Array) -> pa.Array:
-        return pa.array(shared.value.hits(np.asarray(tx).view(np.uint64)))
-
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tx")).where(near("tx"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tx")).where(_near(wanted.select("tx"), "tx"))
     same = (rows.doc_id.eqNullSafe(wanted.doc_id)) & (rows.tx == wanted.tx)
     return rows.join(wanted, same).select("cid", "text").dropDuplicates(["cid"])
 
@@ -222,45 +220,98 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return per_piece(both, "a long, b long", work, "ta")
 
 
-def _union_candidates(small: DataFrame, hot_groups: int, percent: int) -> DataFrame:
-    """(g, h) with g < h: groups that can hold a link, from (cid, g, n, low, high, token) rows; low and high
-    are the sizes of the group's smallest and largest set."""
-    crossing = small.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
-    crossing = stage(crossing, "crossing")
-    shared = small.sparkSession.sparkContext.broadcast(bit_filter(crossing))
+def _near(keys: DataFrame, column: str):
+    """Filter column over ``column``: passes all of ``keys``, and few others."""
+    shared = keys.sparkSession.sparkContext.broadcast(bit_filter(keys))
 
     @F.arrow_udf("boolean")
-    def near(token: pa.Array) -> pa.Array:
-        return pa.array(shared.value.hits(np.asarray(token).view(np.uint64)))
-
-    rows = stage(small.where(near("token")).join(crossing, "token"), "matrix")
-    unions = rows.groupBy("token", "g").agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    spread = stage(unions.groupBy("token").agg(F.count("*").alias("groups")), "spread")
-    hot = spread.where(F.col("groups") > hot_groups).select("token")
-
-    def pairs(matrix: DataFrame) -> DataFrame:
-        a, b = matrix.alias("a"), matrix.alias("b")
-        fits = (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
-        met = a.join(b, F.expr("a.token = b.token and a.g < b.g")).where(fits)
-        # linked sets reach the threshold's share of the larger of the groups' smallest sets
-        floor = F.expr(f"1 + ({percent} * greatest(a.low, b.low) + 99) div 100 div 20")
-        return met.select(F.col("a.g").alias("g"), F.col("b.g").alias("h"), floor.alias("need"))
-
-    usual = pairs(unions.join(hot, "token", "left_anti")).groupBy("g", "h").agg(
-        F.count("*").alias("votes"), F.first("need").alias("need"))
-    # sets that could be linked through hot tokens alone
-    hot_rows = rows.join(hot, "token", "left_semi")
-    floor_own = F.expr(f"1 + ({percent} * n + 99) div 100 div 20")
-    dense = stage(hot_rows.groupBy("cid", "n").agg(F.count("*").alias("k")).where(F.col("k") >= floor_own).select("cid"),
-                  "dense")
-    only_hot = pairs(hot_rows.join(dense, "cid", "left_semi").select("token", "g", "low", "high").distinct()).groupBy(
-        "g", "h").agg(F.count("*").alias("votes"), F.first("need").alias("need"))
-    both = usual.unionByName(only_hot).groupBy("g", "h").agg(F.sum("votes").alias("votes"), F.first("need").alias("need"))
-    return both.where("votes >= need").select("g", "h")
+    def near(values: pa.Array) -> pa.Array:
+        return pa.array(shared.value.hits(np.asarray(values).view(np.uint64)))
+
+    return near(column)
+
+
+def _crossing(rows: DataFrame) -> DataFrame:
+    """(token) that occur under several labels, from (token, g)."""
+    return rows.groupBy("token").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y").select("token")
+
+
+def _all_tokens(texts: DataFrame, words: int, only: BitFilter | None = None) -> DataFrame:
+    """(cid, g, n, bucket, token) of every shingle of (cid, g, n, bucket, text), or of those in a filter."""
+    shared = texts.sparkSession.sparkContext.broadcast(only)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row, token = token_sets(batch.column("text"), words)
+        if shared.value is not None:
+            hit = shared.value.hits(token)
+            row, token = row[hit], token[hit]
+        owner = pa.array(row)
+        return pa.record_batch([*(batch.column(c).take(owner) for c in ("cid", "g", "n", "bucket")),
+                                pa.array(token.view(np.int64))], names=["cid", "g", "n", "bucket", "token"])
+
+    return per_piece(texts, "cid long, g long, n long, bucket long, token long", work)
+
+
+def _links_between(source: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """Links between classes of different labels: (a, b). ``sized``: (cid, g, n, bucket, doc_id, tx, small)."""
+    small = sized.select("cid", "g", "n", F.explode("small").alias("token"))
+    crossing = stage(_crossing(small), "crossing")
+    votes = small.where(_near(crossing, "token")).join(crossing, "token").groupBy("cid", "n").agg(F.count("*").alias("k"))
+    floor = F.expr(f"1 + ({percent} * n + 99) div 100 div 20")
+    able = votes.where(F.col("k") >= floor).select("cid")
+    wanted = stage(sized.join(able, "cid", "left_semi").select("cid", "g", "n", "bucket", "doc_id", "tx"), "able")
+    if wanted.isEmpty():
+        return None
+    texts = stage(_texts_of(source, wanted.select("cid", "doc_id", "tx")).join(
+        wanted.select("cid", "g", "n", "bucket"), "cid"), "able_texts")
+    shared = stage(_crossing(_all_tokens(texts, words)), "shared")
+    # all crossing tokens of each set, and in how many labels they occur
+    rows = _all_tokens(texts, words, bit_filter(shared)).join(shared, "token")
+    needed_ = F.expr(f"({percent} * n + 99) div 100")
+    rich = stage(rows.groupBy("cid", "n").agg(F.count("*").alias("k")).where(F.col("k") >= needed_).select("cid", "k"), "rich")
+    rows = stage(rows.join(rich, "cid"), "matrix")
+    if rows.isEmpty():
+        return None
+    spread = rows.groupBy("token", "g").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("labels"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("labels", "token"))
+    # tokens that do not cross come first in a prefix and join nothing
+    prefix = rows.join(stage(spread.where("labels > 1"), "spread"), "token").withColumn("place", place).where(
+        F.col("place") + (F.col("n") - F.col("k")) <= F.col("n") - needed_ + 1)
+    members = rows.select("cid", "bucket").distinct()
+    count = members.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    parted = stage(members.join(count, "bucket").select(
+        "cid", F.xxhash64("bucket", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("group")), "parted")
+    columns = stage(prefix.join(parted, "cid").groupBy("token", "group").agg(
+        F.min("g").alias("x"), F.max("g").alias("y"), F.min("n").alias("low"), F.max("n").alias("high")), "columns")
+    a, b = columns.alias("a"), columns.alias("b")
+    met = a.join(b, F.expr("a.token = b.token and a.group <= b.group")).where(
+        (100 * F.col("a.high") >= percent * F.col("b.low")) & (100 * F.col("b.high") >= percent * F.col("a.low"))
+        & ~((F.col("a.x") == F.col("a.y")) & (F.col("a.x") == F.col("b.x")) & (F.col("b.x") == F.col("b.y"))))
+    met = stage(met.select(F.col("a.group").alias("p"), F.col("b.group").alias("q")).distinct(), "met")
+    bodies = stage(texts.join(parted, "cid").groupBy("group").agg(
+        F.collect_list("cid").alias("cids"), F.collect_list("g").alias("gs"), F.collect_list("text").alias("texts")), "groups")
+    one, two = (bodies.select(F.col("group").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("cids", "gs", "texts")])
+                for k in "pq")
+
+    def work(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                p = [batch.column(f"p_{c}")[r].values for c in ("cids", "gs", "texts")]
+                q = [batch.column(f"q_{c}")[r].values for c in ("cids", "gs", "texts")]
+                found = open_group(p, q, words, percent)
+                if found:
+                    x, y = zip(*found)
+                    yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    small_batches(source.sparkSession, 20)
+    try:
+        return stage(met.join(one, "p").join(two, "q").mapInArrow(work, "a long, b long"), "opened")
+    finally:
+        small_batches(source.sparkSession)
 
 
 def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id",
-                       text_col: str = "text", hot_groups: int = HOT_GROUPS) -> DataFrame:
+                       text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept, row_no, text_xx.
 
     Sets hold distinct shingles of ``words`` lower-cased (A-Z) words; texts with fewer words have one, of the
@@ -284,17 +335,12 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     texts = stage(_texts_of(source, wanted), "texts")
     edges = stage(_verified(pairs, texts, words, percent), "links")
     groups = components(edges)
-    # bounds between groups
-    grouped = reps.select("cid", "n", "doc_id", "tx", "small").join(
-        groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("comp", "cid"))
-    sizes = stage(grouped.where("comp is not null").groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high")), "sizes")
-    sized = stage(grouped.join(sizes, "g", "left").select(
-        "cid", "g", "n", "doc_id", "tx", F.coalesce("low", "n").alias("low"), F.coalesce("high", "n").alias("high"), "small"), "grouped")
-    small = sized.select("cid", "g", "n", "low", "high", F.explode("small").alias("token"))
-    met = stage(_union_candidates(small, hot_groups, percent), "met")
-    if not met.isEmpty():
-        edges = edges.unionByName(_opened(source, sized, met, words, percent))
-        groups = components(edges)
+    # links between labels
+    sized = stage(reps.select("cid", "n", "doc_id", "tx", F.col("signature")[0].alias("bucket"), "small").join(
+        groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("comp", "cid")).drop("comp"), "sized")
+    more = _links_between(source, sized, words, percent)
+    if more is not None and not more.isEmpty():
+        groups = components(edges.unionByName(more))
     member = classes.join(groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("comp", "cid"))
     lowest = member.groupBy("g").agg(F.min("lowest").alias("first"))
     named = stage(member.join(lowest, "g").select("k1", "k2", "first.doc_id", "first.row_no"), "named")
@@ -313,37 +359,3 @@ def drop_similar(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str
         "doc_id", "text_xx", "kept", "n_shingles"), "kept")
     repeated = rows.where("n_shingles > 0").groupBy("doc_id", "text_xx").count().where("count > 1")
     return keep_rows(docs, rows.where("kept"), repeated, id_col, text_col)
-
-
-def _opened(source: DataFrame, sized: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between the groups of ``met`` by comparing their blocks."""
-    touched = met.select("g").unionByName(met.select(F.col("h").alias("g"))).distinct()
-    wanted = stage(sized.join(touched, "g", "left_semi").select("cid", "g", "n", "doc_id", "tx"), "wanted")
-    texts = _texts_of(source, wanted.select("cid", "doc_id", "tx")).join(wanted.select("cid", "g", "n"), "cid")
-    # members of a group spread over blocks of about BLOCK sets, by a hash of the class
-    count = wanted.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    blocks = stage(texts.join(count, "g").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks"))).groupBy(
-        "g", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("cid").alias("cids"),
-                          F.collect_list("text").alias("texts")), "blocks")
-    heads = blocks.select("g", "block", "low", "high")
-    a = heads.select(*[F.col(c).alias(f"a_{c}") for c in heads.columns])
-    b = heads.select(*[F.col(c).alias(f"b_{c}") for c in heads.columns])
-    chosen = stage(met.join(a, F.col("g") == F.col("a_g")).join(b, F.col("h") == F.col("b_g")).where(
-        (100 * F.col("a_high") >= percent * F.col("b_low")) & (100 * F.col("b_high") >= percent * F.col("a_low"))).select(
-        "a_g", "a_block", "b_g", "b_block"), "chosen")
-    body = blocks.select("g", "block", "cids", "texts")
-    left = body.select(*[F.col(c).alias(f"a_{c}") for c in body.columns])
-    right = body.select(*[F.col(c).alias(f"b_{c}") for c in body.columns])
-    met_blocks = chosen.join(left, ["a_g", "a_block"]).join(right, ["b_g", "b_block"]).select(
-        "a_cids", "a_texts", "b_cids", "b_texts")
-
-    def work(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                cols = [batch.column(c)[r].values for c in ("a_cids", "a_texts", "b_cids", "b_texts")]
-                found = _spanning(open_blocks(cols[0].to_pylist(), cols[1], cols[2].to_pylist(), cols[3], words, percent))
-                if found:
-                    x, y = zip(*found)
-                    yield pa.record_batch([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
-
-    return stage(met_blocks.mapInArrow(work, "a long, b long"), "opened")

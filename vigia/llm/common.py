@@ -228,5 +228,6 @@ def per_piece(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
                 out = work(piece)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

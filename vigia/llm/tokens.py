@@ -26,14 +26,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigia.llm.common import pieces, stage
+from vigia.llm.common import pieces, small_batches, stage
 
 CHUNK = 1 << 16
 BLOCK = 256
 _SPACE = "▁"
 _NONE = -(1 << 60)
 _LONG_WORD = 1000  # library sums are exact in 32-bit floats up to here; longer words use the lattice below
-_CACHE = 400_000
+_CACHE = 200_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -373,6 +373,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
     ids; an empty table gives none; other columns are ignored."""
     if chunk < 2 * vocabulary.longest:
         raise ValueError("chunks must be longer than two pieces")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)

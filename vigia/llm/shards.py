@@ -114,7 +114,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         inside = groups.withColumn("block", block).join(F.broadcast(groups.sparkSession.createDataFrame(
             spans, "block long, a long, b long, step long")), "block").where("key between a and b")
         part = F.expr("a + step * ((key - a) div step)")
-        finer = _rows(_summed(inside, part, F.expr("least(b, a + step * ((key - a) div step) + step - 1)")))
+        finer = _rows(_summed(inside, part, F.expr(
+            "a + step * ((key - a) div step) + least(step - 1, b - a - step * ((key - a) div step))")))
         ranges = Ranges([r for i, r in enumerate(ranges.rows) if i not in open_] + finer)
     best = ranges.capacity(shards)
     cuts = ranges.balanced(best, shards)

@@ -130,7 +130,7 @@ def sensitive_types(text: Column) -> Column:
     ))
 
 
-_JSON_STRING = r'"(?:[^"\\]|\\.)*"(?!\s*:)'
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
 
 
 def redact_json(value: Column) -> Column:
@@ -138,6 +138,8 @@ def redact_json(value: Column) -> Column:
     def clean(literal: Column) -> Column:
         inner = F.from_json(F.concat(F.lit('{"v":'), literal, F.lit("}")), "v string")["v"]
         again = F.to_json(F.struct(redact(inner).alias("v")))
-        return F.coalesce(F.regexp_extract(again, r'^\{"v":((?s).*)\}$', 1), literal)
+        # a string that a colon follows is a key: the whole match stays, and the search goes on behind it
+        return F.when(literal.endswith(":"), literal).otherwise(
+            F.coalesce(F.regexp_extract(again, r'^\{"v":((?s).*)\}$', 1), literal))
 
     return regexp_map(value, _JSON_STRING, clean)

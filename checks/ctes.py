@@ -192,7 +192,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
             when 'urlhaus_hosts' then 1700 when 'destroylist' then 3600 else 21600 end), true
         from hourly"""),
     "policies": ((), "select * from (values " + ",".join(
-        f"({lit(p)}, {str(h).lower()}, {ttl})" for p, _, _, _, h, ttl in fixed.PROVIDERS)
+        f"({lit(p['provider'])}, {str(p['hard_rule_eligible']).lower()}, {p['ttl_seconds']})" for p in fixed.PROVIDERS)
         + ") t(provider, hard_rule_eligible, ttl_seconds)"),
     "latest": (("snapshots",), """
         select provider, arg_max(snapshot_id, fetched_at) as snapshot_id,

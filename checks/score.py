@@ -213,7 +213,7 @@ EVIDENCE = {
         where s.domain is null""",
 }
 _FAMILY = "case " + " ".join(
-    f"when check_name in {ctes.any_of(c)} then '{f}'" for f, c in fixed.FAMILIES.items()
+    f"when check_name = '{c}' then '{f}'" for c, f in fixed.FAMILY_OF_CHECK.items()
 ) + " else check_name end"
 
 
@@ -314,7 +314,7 @@ def advice(spark, sf):
 
 
 def _advice_sql() -> str:
-    do, steps = scoring._DO, scoring._STEPS
+    do, steps = fixed.ADVICE_DO, fixed.ADVICE_STEPS
     return sql(f"""select level, requested_action, message_type,
       case when level = 'estafa' and requested_action in ('dar_codigo','introducir_credenciales','transferir')
           then {lit(do['secrets'])}

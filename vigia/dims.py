@@ -1,6 +1,6 @@
 """Small dimensions: brands, registered sender aliases, feed policies, shared platforms.
 
-The defaults are built by rule from compact rows. ``load_*`` reads a site's own tables from JSON;
+The defaults are the records in ``fixed``. ``load_*`` reads a site's own tables from JSON;
 those readers check that the table is small enough to travel with the plan.
 """
 
@@ -31,70 +31,8 @@ class Brand:
         return tuple(dict.fromkeys(token_literal(n) for n in (self.name, *self.aliases)))
 
 
-# Fixed values. category | name | further aliases | own domains ("*" = name.es and name.com) | phone.
-# Every brand also answers to its own name in lower case.
-_BRANDS = """
-bank|CaixaBank|la caixa,caixabanknow,caixabank now|*,caixabank.cat,caixabankpay.com,caixabankresearch.com,caixabankconsumer.es,grupocaixabank.com,grupocaixabank.es,caixabankcareers.com|900404090
-bank|BBVA||*,bbvanet.com,bbvavalores.com,bbvaopenmind.com,creandooportunidades.com|900102801
-bank|Banco Santander|santander|bancosantander.es,santander.com,santander.es,gruposantander.com,santanderconsumer.es|900811381
-bank|Banco Sabadell|sabadell|bancsabadell.com,bancosabadell.com,bancsabadell.es,bancosabadell.es|900700010
-bank|Bankinter||*,bankinterconsumerfinance.com|916578800
-bank|ING||*,ingdirect.es|912066666
-bank|Abanca||*|900815010
-bank|Unicaja|unicaja banco|unicajabanco.es,unicajabanco.com,unicaja.es|900151948
-bank|Kutxabank||*|
-bank|Ibercaja||*|
-government|Agencia Tributaria|aeat,hacienda|agenciatributaria.es,agenciatributaria.gob.es,aeat.es|915548770
-government|Seguridad Social|inss|seg-social.es,seg-social.gob.es|915421176
-government|DGT|direccion general de trafico,tráfico|dgt.es,dgt.gob.es|060
-government|SEPE|servicio publico de empleo|sepe.es,sepe.gob.es|060
-delivery|Correos||*,correosprepago.es,correosexpress.com,correosexpress.es|915197197
-delivery|Celeritas|celeritas transporte,punto celeritas|celeritastransporte.com,celeritas.es|
-utility|Endesa||*,endesaclientes.com|
-utility|Iberdrola||*,iberdrolaclientes.es|
-utility|Naturgy||*,naturgyclientes.es|
-delivery|SEUR||*|
-delivery|MRW||*|
-delivery|GLS||gls-spain.es,gls-group.eu,gls-spain.com|
-delivery|DHL|dhl express|*|
-delivery|Correos Express|correosexpress|*|
-retail|Amazon|amazon.es|*|
-marketplace|Vinted||*|
-marketplace|Wallapop||*|
-streaming|Netflix||*|
-telecom|Movistar|telefonica,telefónica|*,telefonica.com,telefonica.es|1004
-telecom|Orange||*|1470
-telecom|Vodafone||*|22123
-telecom|Yoigo||*|622
-retail|AliExpress||*|
-bank|Openbank|open bank|*|911773310
-logistics|FedEx||*|
-payment|Bizum||bizum.es|
-public_administration|Policía Nacional|policia,policía,policianacional|policia.es,policianacional.es,interior.gob.es|091
-public_administration|Ministerio de Justicia|ministeriojusticia,justicia|mjusticia.gob.es,justicia.gob.es,administraciondejusticia.gob.es|
-crypto|Binance|binancealerts|*|
-crypto|MetaMask||metamask.io|
-crypto|Coinbase||coinbase.com|
-crypto|Crypto.com|cryptocom|crypto.com|
-crypto|Ledger|ledger security|ledger.com|
-transport|Renfe|renfe viajero,renfe viajeros|*|912320320
-insurance|MAPFRE||*|918365365
-retail|Zara||*,inditex.com|
-"""
-
-
 def default_brands() -> tuple[Brand, ...]:
-    brands = []
-    for line in _BRANDS.strip().splitlines():
-        category, name, aliases, domains, number = line.split("|")
-        slug = token_literal(name)
-        own = []
-        for domain in domains.split(","):
-            own.extend((f"{slug}.es", f"{slug}.com") if domain == "*" else (domain,))
-        brands.append(Brand(
-            name, category, tuple(dict.fromkeys((name.lower(), *filter(None, aliases.split(","))))),
-            tuple(own), (number,) if number else ()))
-    return tuple(brands)
+    return tuple(Brand(**b) for b in fixed.BRANDS)
 
 
 @dataclass(frozen=True)
@@ -108,55 +46,8 @@ class SenderAlias:
     status: str = "active"
 
 
-ALIAS_REGISTRY_VERSION = "2026.08.1"
-
-# Fixed values. category@date, then holder | tax id | alias=authorised brands (";" between aliases).
-_ALIASES = """
-banca_finanzas@2026-05-01
-CaixaBank, S.A.|A08663619|CaixaBank=CaixaBank;CaixaBankNow=CaixaBank;imagin=CaixaBank,imagin
-Banco Bilbao Vizcaya Argentaria, S.A.|A48265169|BBVA=BBVA
-Banco Santander, S.A.|A39000013|Santander=Banco Santander;BSantander=Banco Santander
-Open Bank, S.A.|A28021079|Openbank=Openbank,Banco Santander
-Banco de Sabadell, S.A.|A08000143|Sabadell=Banco Sabadell;BSabadell=Banco Sabadell
-Bankinter, S.A.|A28157360|Bankinter=Bankinter
-ING Bank N.V. Sucursal en España|W0067664G|ING=ING
-Abanca Corporación Bancaria, S.A.|A70302039|Abanca=Abanca
-Unicaja Banco, S.A.|A93139053|Unicaja=Unicaja Banco
-Kutxabank, S.A.|A95653077|Kutxabank=Kutxabank
-Ibercaja Banco, S.A.|A99319030|Ibercaja=Ibercaja
-logistica_paqueteria@2026-04-15
-Sociedad Estatal Correos y Telégrafos, S.A., S.M.E.|A83052407|CORREOS=Correos
-Correos Express Paquetería Urgente, S.A., S.M.E.|A78773710|CorreosExpress=Correos,Correos Express
-SEUR GeoPost, S.L.|B82302308|SEUR=SEUR
-DHL Express Barcelona, S.L.|B62560347|DHL=DHL
-General Logistics Spain, S.L.|B84180488|GLS=GLS
-Ibermensajería, S.A.|A08836520|MRW=MRW
-administracion_publica@2026-03-01
-Dirección General de Tráfico|S2816003D|DGT=DGT;InfoDGT=DGT
-Agencia Estatal de Administración Tributaria|Q2826000H|AEAT=Agencia Tributaria;AgTributaria=Agencia Tributaria
-Tesorería General de la Seguridad Social|Q2827003A|Seg-Social=Seguridad Social;TGSS=Seguridad Social
-suministros_energia@2026-05-15
-Endesa Energía, S.A.|A81948077|Endesa=Endesa
-Iberdrola Clientes, S.A.U.|A95238135|Iberdrola=Iberdrola
-Naturgy Iberia, S.A.|A08431090|Naturgy=Naturgy
-telecomunicaciones@2026-04-01
-Telefónica de España, S.A.U.|A28015865|Movistar=Movistar,Telefónica
-Vodafone España, S.A.U.|A80907397|Vodafone=Vodafone
-Orange Espagne, S.A.U.|A82009812|Orange=Orange,MasOrange
-"""
-
-
 def default_aliases() -> tuple[SenderAlias, ...]:
-    rows, category, date = [], "", ""
-    for line in _ALIASES.strip().splitlines():
-        if "@" in line:
-            category, date = line.split("@")
-            continue
-        holder, tax_id, aliases = line.split("|")
-        for entry in aliases.split(";"):
-            alias, brands = entry.split("=")
-            rows.append(SenderAlias(alias, holder, tax_id, category, date, tuple(brands.split(","))))
-    return tuple(rows)
+    return tuple(SenderAlias(**a) for a in fixed.SENDER_ALIASES)
 
 
 # --- as DataFrames --------------------------------------------------------------------------
@@ -242,7 +133,9 @@ def aliases_df(spark: SparkSession, aliases: tuple[SenderAlias, ...]) -> DataFra
               "authorized_tokens array<string>, holder_token string")
 
 
-def policies_df(spark: SparkSession, policies: tuple[tuple, ...] = fixed.PROVIDERS) -> DataFrame:
+def policies_df(spark: SparkSession, policies: tuple[tuple, ...] | None = None) -> DataFrame:
+    if policies is None:
+        policies = tuple(tuple(p.values()) for p in fixed.PROVIDERS)
     return spark.createDataFrame(
         list(policies), "provider string, format string, indicator_type string, trust_tier int, "
                         "hard_rule_eligible boolean, ttl_seconds bigint")

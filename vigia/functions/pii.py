@@ -17,8 +17,8 @@ _AMOUNT = r"(?=[0-9])" + _ANY_CASE + fixed.AMOUNT
 _OTP = quick(fixed.OTP, _ANY_CASE)
 URL = quick(fixed.URL, _ANY_CASE)
 _IBAN = r"(?=[A-Za-z]{2}(?U:\s?\d))" + _ANY_CASE + r"\b(?:" + "|".join(
-    rf"(?:{countries.replace(' ', '|')})\s?\d{{2}}(?:[\s-]?[A-Z0-9]){{{length - 4}}}"
-    for length, countries in fixed.IBAN_COUNTRIES_BY_LENGTH.items()
+    rf"(?:{'|'.join(c for c, n in fixed.IBAN_LENGTHS.items() if n == length)})\s?\d{{2}}(?:[\s-]?[A-Z0-9]){{{length - 4}}}"
+    for length in sorted(set(fixed.IBAN_LENGTHS.values()))
 ) + r")\b"
 
 

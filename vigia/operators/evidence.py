@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vigia import fixed, schemas as S
-from vigia.dims import ALIAS_REGISTRY_VERSION, SenderAlias, aliases_df
+from vigia.dims import SenderAlias, aliases_df
 from vigia.functions import pii, text as tx, urls as ur
 from vigia.operators.extract import is_alphanumeric_sender
 
@@ -125,7 +125,7 @@ def _alias_check() -> Column:
         tokens, lambda t: (F.char_length(t) >= 4) & record["holder_token"].contains(t))
     mismatch = record.isNotNull() & claimed.isNotNull() & ~entitled
     verified = record.isNotNull() & ~mismatch
-    version, source = ALIAS_REGISTRY_VERSION, "cnmc_alias_registry"
+    version, source = fixed.ALIAS_REGISTRY_VERSION, "cnmc_alias_registry"
     return F.when(~is_alphanumeric_sender(sender), F.array().cast(_NO_SIGNALS)).otherwise(F.array(
         F.when(mismatch, signal(
             "cnmc_alias_mismatch", mismatch, weight=100, severity=S.CRITICAL, hard=True,

@@ -11,9 +11,16 @@ from vigia import fixed, schemas as S
 from vigia.functions.text import pin
 
 
+def _checks_by_family() -> dict[str, list[str]]:
+    families: dict[str, list[str]] = {}
+    for check, family in fixed.FAMILY_OF_CHECK.items():
+        families.setdefault(family, []).append(check)
+    return families
+
+
 def _family(check: Column) -> Column:
     ladder = None
-    for family, checks in fixed.FAMILIES.items():
+    for family, checks in _checks_by_family().items():
         test = check.isin(*checks)
         ladder = F.when(test, family) if ladder is None else ladder.when(test, family)
     return ladder.otherwise(check)
@@ -123,62 +130,19 @@ def verdict_from_rows(evidence: DataFrame, key: str = "message_id",
 
 
 # --- advice ------------------------------------------------------------------------------------
-# What to tell the recipient.
-_DO = {
-    "secrets": "No compartas nada. Si ya diste datos o dinero, llama ahora al número oficial de "
-               "tu banco.",
-    "install": "No instales ni abras esa aplicación. Si ya lo hiciste, desconecta el dispositivo "
-               "de internet y llama a tu banco.",
-    "scam": "No pulses nada. Borra el mensaje y contacta tú con la entidad por su canal oficial.",
-    "spam": "No respondas ni pulses enlaces. Marca el remitente como spam y bórralo si no "
-            "esperabas esta publicidad.",
-    "delivery": "Si esperabas ese envío, comprueba el pedido desde la web o aplicación oficial de "
-                "la tienda o de la empresa de transporte. No compartas el PIN por mensaje o "
-                "teléfono.",
-    "other": "No sigas las instrucciones. Contacta tú con la entidad usando el número de tu "
-             "tarjeta o su web oficial.",
-}
-_STEPS = {
-    "spam": ("No respondas ni uses los enlaces del mensaje.",
-             "Márcalo como spam o publicidad desde tu aplicación de mensajes.",
-             "Bloquea el remitente si vuelve a contactar contigo."),
-    "delivery": ("Comprueba el pedido desde la tienda donde compraste o desde la web oficial del "
-                 "transportista.",
-                 "Lleva tu documento solo al punto de recogida si reconoces el envío.",
-                 "No envíes el PIN ni tus datos por SMS, WhatsApp o teléfono."),
-    "install": ("Desconecta el dispositivo de internet sin seguir instrucciones del supuesto "
-                "técnico.",
-                "Llama a tu banco desde otro dispositivo si abriste una app o mostraste la "
-                "pantalla.",
-                "Pide ayuda técnica de confianza antes de volver a usar el dispositivo para "
-                "operar."),
-    "secrets": ("Cambia la contraseña desde la aplicación o web oficial y cierra las demás "
-                "sesiones.",
-                "Llama al banco si compartiste una clave, tarjeta o código de un solo uso.",
-                "Guarda el mensaje y revisa movimientos o accesos que no reconozcas."),
-    "money": ("Llama inmediatamente al banco para intentar detener o reclamar la operación.",
-              "Guarda justificante, conversación, teléfono, enlace y hora como evidencia.",
-              "Llama al 017 de INCIBE y denuncia ante Policía Nacional o Guardia Civil."),
-    "other": ("Cierra el enlace y no introduzcas ningún dato.",
-              "Si escribiste una contraseña, cámbiala desde el servicio oficial.",
-              "Conserva el mensaje; pide orientación en el 017 de INCIBE y denuncia ante Policía "
-              "Nacional o Guardia Civil si hubo perjuicio."),
-}
-
-
 def advise(df: DataFrame) -> DataFrame:
     """Adds ``action`` (what to do now) and ``incident_steps``."""
     scam = F.col("level") == S.LEVEL_SCAM
     asked = F.col("requested_action")
     spam = F.col("message_type") == S.TYPE_SPAM
     delivery = F.col("message_type") == S.TYPE_TRANSACTIONAL
-    steps = lambda name: F.array(*[F.lit(s) for s in _STEPS[name]])
+    steps = lambda name: F.array(*[F.lit(s) for s in fixed.ADVICE_STEPS[name]])
     return df.withColumns({
         "action": F.when(
             scam & asked.isin(S.ACTION_CODE, S.ACTION_CREDENTIALS, S.ACTION_TRANSFER),
-            _DO["secrets"])
-        .when(scam & (asked == S.ACTION_INSTALL), _DO["install"]).when(scam, _DO["scam"])
-        .when(spam, _DO["spam"]).when(delivery, _DO["delivery"]).otherwise(_DO["other"]),
+            fixed.ADVICE_DO["secrets"])
+        .when(scam & (asked == S.ACTION_INSTALL), fixed.ADVICE_DO["install"]).when(scam, fixed.ADVICE_DO["scam"])
+        .when(spam, fixed.ADVICE_DO["spam"]).when(delivery, fixed.ADVICE_DO["delivery"]).otherwise(fixed.ADVICE_DO["other"]),
         "incident_steps": F.when(spam, steps("spam")).when(delivery, steps("delivery"))
         .when(asked == S.ACTION_INSTALL, steps("install"))
         .when(asked.isin(S.ACTION_CODE, S.ACTION_CREDENTIALS), steps("secrets"))

@@ -4,17 +4,18 @@ Documents with one shingle set are a class. Classes are partitioned into groups
 keeps the union of its tokens, a query's overlap with a union bounds its similarity with every member, and
 only groups that pass are opened.
 
-1. Seeds: classes that share a minimum under one of several hashes meet their bucket's first class; the
-   exact similarity decides, and connected classes get one label. A bucket of any size costs one comparison
-   a member.
+1. Seeds: classes that share a minimum under one of several hashes meet their bucket's two leaders, others
+   under each hash, so that a family of edited copies is tied together by many texts. Of those pairs, the ones
+   with ``AGREE`` equal minima are compared exactly, and connected classes get one label. A bucket of any
+   size costs two comparisons a member.
 2. Bounds on whole classes, linear in the tokens. Linked sets of different labels share only tokens that
    occur under several labels ("crossing"). A set of n tokens keeps its ``n - o + l`` smallest token hashes
    (o: overlap it needs with any partner, l: one more than a twentieth of n); without l crossing tokens of
    its size among them it has no partner. For the sets that pass, the same is asked of all their tokens: o
    of them must cross. In an edited copy the edits cross nowhere, so most fall out here.
-3. The matrix: the remaining sets are partitioned by a minimum into groups of up to ``GROUP``, and a token
-   column of a group is set if the token is in a member's prefix, its ``n - o + 1`` rarest tokens. Groups
-   without a common column hold no link. For the others each query of one group is bounded by its overlap
+3. The matrix: the remaining sets are partitioned by label, or a minimum where they have none, into groups
+   of up to ``GROUP``, and a token column of a group is set if the token is in a member's prefix, its
+   ``n - o + 1`` rarest tokens. Groups without a common column hold no link. For the others each query of one group is bounded by its overlap
    with the other's union, and opens the group only if that reaches o; the exact similarity decides.
 
 Links under one label add nothing to its component, so they are not enumerated; no link between different
@@ -31,6 +32,7 @@ from vigia.llm.common import (
     LOWER, BitFilter, Prefix, bit_filter, keep_rows, mix, per_piece, raw, small_batches, stage, word_spans)
 
 SIGNATURES = 8
+AGREE = 3
 _LOWEST = "min(struct(doc_id is null as none, doc_id, row_no))"
 GROUP = 32
 
@@ -95,6 +97,7 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
         k2 = by_row(mix(token + np.uint64(0x1234567)), np.add)
         minima = [by_row(mix(token ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))), np.minimum)
                   for k in range(SIGNATURES)]
+        prints = sum(((m & np.uint64(255)) << np.uint64(8 * k)) for k, m in enumerate(minima))
         keep = np.where(some, size - needed(size, percent) + spare(size), 0)
         keep = np.minimum(keep, size)
         place = np.arange(len(token)) - first[row]
@@ -104,12 +107,17 @@ def sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
             pa.array(np.stack(minima, 1).ravel().view(np.int64)), SIGNATURES).cast(pa.list_(pa.int64()))
         return pa.record_batch([
             batch.column("row_no"), batch.column("doc_id"), batch.column("tx"), pa.array(k1.view(np.int64)),
-            pa.array(k2.view(np.int64)), pa.array(size), signature,
+            pa.array(k2.view(np.int64)), pa.array(size), pa.array(prints.view(np.int64)), signature,
             pa.ListArray.from_arrays(pa.array(ends), pa.array(small.view(np.int64)))],
-            names=["row_no", "doc_id", "tx", "k1", "k2", "n", "signature", "small"])
+            names=["row_no", "doc_id", "tx", "k1", "k2", "n", "print", "signature", "small"])
 
-    return per_piece(docs, "row_no long, doc_id long, tx long, k1 long, k2 long, n long, signature array<long>, "
-                           "small array<long>", work)
+    return per_piece(docs, "row_no long, doc_id long, tx long, k1 long, k2 long, n long, print long, "
+                           "signature array<long>, small array<long>", work)
+
+
+def _agreeing(a: str, b: str):
+    """How many minima two prints (eight bits of each minimum) have in common."""
+    return sum(F.expr(f"cast(((`{a}` ^ `{b}`) >> {8 * k}) & 255 = 0 as int)") for k in range(SIGNATURES))
 
 
 # ---------------------------------------------------------------- exact comparison
@@ -326,9 +334,13 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                                                                F.expr(_LOWEST).alias("lowest")), "classes")
     reps = all_.join(classes.select(F.col("cid").alias("row_no")), "row_no", "left_semi").withColumnRenamed("row_no", "cid")
     # grouping by minima
-    minima = reps.select("cid", F.posexplode("signature").alias("k", "v"))
-    leaders = minima.groupBy("k", "v").agg(F.min("cid").alias("b"), F.count("*").alias("m")).where("m > 1").select("k", "v", "b")
-    pairs = stage(minima.join(leaders, ["k", "v"]).where("cid <> b").select(F.col("cid").alias("a"), "b").distinct(), "pairs")
+    minima = reps.select("cid", "print", F.posexplode("signature").alias("k", "v"))
+    member = F.struct(F.xxhash64("cid", "k").alias("place"), F.col("cid").alias("b"), F.col("print").alias("print_b"))
+    leaders = minima.groupBy("k", "v").agg(F.min(member).alias("x"), F.max(member).alias("y"), F.count("*").alias("m")).where(
+        "m > 1").select("k", "v", F.inline(F.array("x", "y"))).drop("place")
+    pairs = stage(minima.join(leaders, ["k", "v"]).where(F.col("cid") != F.col("b")).where(
+        _agreeing("print", "print_b") >= AGREE).select(
+        F.greatest("cid", "b").alias("a"), F.least("cid", "b").alias("b")).distinct(), "pairs")
     active = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     wanted = stage(reps.join(active, "cid", "left_semi").select("cid", "doc_id", "tx"), "wanted")
@@ -336,8 +348,10 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     edges = stage(_verified(pairs, texts, words, percent), "links")
     groups = components(edges)
     # links between labels
-    sized = stage(reps.select("cid", "n", "doc_id", "tx", F.col("signature")[0].alias("bucket"), "small").join(
-        groups.withColumnRenamed("node", "cid"), "cid", "left").withColumn("g", F.coalesce("comp", "cid")).drop("comp"), "sized")
+    sized = stage(reps.select("cid", "n", "doc_id", "tx", F.col("signature")[0].alias("minimum"), "small").join(
+        groups.withColumnRenamed("node", "cid"), "cid", "left").select(
+        "cid", F.coalesce("comp", "cid").alias("g"), "n", "doc_id", "tx",
+        F.when(F.col("comp").isNotNull(), F.xxhash64("comp")).otherwise(F.col("minimum")).alias("bucket"), "small"), "sized")
     more = _links_between(source, sized, words, percent)
     if more is not None and not more.isEmpty():
         groups = components(edges.unionByName(more))

@@ -37,8 +37,8 @@ _IMPORT = {
         from documents join labels using (doc_id) join events on event_id = doc_id""",
     **text_checks.REDACTED,
     "imported": """select r.t, m.*, case when toxic = 1 then 'scam' else 'legitimate' end as label,
-        case when doc_id % 2 = 0 then source else 'derived-' || substr(sha256(substr(regexp_replace(lower(trim(t)),
-          '\\s+', '', 'g'), 1, 160)), 1, 16) end as campaign_id
+        case when doc_id % 2 = 0 then source else 'derived-' || substr(sha256(regexp_replace(lower(trim(t)),
+          '\\s+', '', 'g')), 1, 16) end as campaign_id
         from redacted r join messages m using (message_id)""",
 }
 _BUCKET = "('0x' || substr(sha256(campaign_id), 1, 8))::bigint % 5"

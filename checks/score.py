@@ -376,7 +376,7 @@ select check_name, status, count(*) as n, sum(weight)::bigint as weight, count_i
 _FIRSTS = {
     "firsts": """select * from (select *, row_number() over (partition by message_id order by position) as k
         from (select *, row_number() over (partition by message_id, domain order by position) as again
-          from links) where again = 1) where k <= 3""",
+          from links) where again = 1)""",
     "dom": f"""select {ctes.registrable(ctes.host('url'))} as domain, max(ts) as cert_issued_at,
         min(ts) as registered_at from pages join events on event_id = page_id group by 1""",
 }

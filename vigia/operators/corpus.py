@@ -56,11 +56,11 @@ def normal_label(value: Column, phishing_only: bool = False) -> Column:
 
 
 def derived_campaign(message: Column) -> Column:
-    """Campaign id for rows that carry none: the linked hosts, or else the beginning of the text."""
+    """Campaign id for rows that carry none: the linked hosts, or else the whole text without blanks."""
     hosts = F.array_sort(F.array_distinct(F.transform(
         F.regexp_extract_all(message, F.lit(pii.URL), F.lit(0)),
         lambda u: F.coalesce(ur.host(F.when(u.contains("://"), u)), F.lit("")))))
-    squeezed = F.substring(F.regexp_replace(F.lower(message), r"(?U)\s+", ""), 1, 160)
+    squeezed = F.regexp_replace(F.lower(message), r"(?U)\s+", "")
     basis = F.coalesce(F.nullif(F.array_join(hosts, "|"), F.lit("")), squeezed)
     return F.concat(F.lit("derived-"), F.substring(F.sha2(basis, 256), 1, 16))
 

@@ -317,8 +317,9 @@ def type_evidence(df: DataFrame) -> DataFrame:
 
 # --- checks on collected facts -----------------------------------------------------------------
 
-def first_domains(linked: DataFrame, budget: int | None = 3, key: str = "message_id") -> DataFrame:
-    """(message_id, position, domain, url): the first distinct domains of each message."""
+def first_domains(linked: DataFrame, budget: int | None = None, key: str = "message_id") -> DataFrame:
+    """(message_id, position, domain, url): the distinct domains of each message, or the
+    first ``budget`` of them."""
     domains = F.array_distinct(F.filter(F.transform("links", lambda l: l["domain"]),
                                         lambda d: d.isNotNull()))
     chosen = F.slice(domains, 1, budget) if budget else domains
@@ -332,7 +333,7 @@ def first_domains(linked: DataFrame, budget: int | None = 3, key: str = "message
 
 def network_evidence(
     linked: DataFrame, domain_facts: DataFrame, redirect_facts: DataFrame, now: datetime,
-    budget: int | None = 3,
+    budget: int | None = None,
 ) -> DataFrame:
     """Rows from collected facts: ``domain_facts(domain, registered_at, cert_issued_at)`` and
     ``redirect_facts(url, hops, final_domain)``, one row per key. A missing fact is not

@@ -208,6 +208,14 @@ def test_components_match_brute_force(spark, words, percent):
     assert similar.similar_components(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_matrix_finds_all_links_without_seeds(spark, monkeypatch):
+    monkeypatch.setattr(similar, "AGREE", similar.SIGNATURES + 1)
+    monkeypatch.setattr(similar, "GROUP", 3)
+    docs = texts(7, 25)
+    got = similar.similar_components(frame(spark, docs), 5, 80)
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == brute_components(docs, 5, 80)
+
+
 def test_opened_groups_link_across_labels():
     a, b = ["one two three four five six"], ["one two three four five six", "seven eight nine ten"]
     arrays = lambda ids, labels, t: [pa.array(ids), pa.array(labels), pa.array(t)]

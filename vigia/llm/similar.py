@@ -13,8 +13,9 @@ only groups that pass are opened.
    (o: overlap it needs with any partner, l: one more than a twentieth of n); without l crossing tokens of
    its size among them it has no partner. For the sets that pass, the same is asked of all their tokens: o
    of them must cross. In an edited copy the edits cross nowhere, so most fall out here.
-3. The matrix: the remaining sets are partitioned by label, or a minimum where they have none, into groups
-   of up to ``GROUP``, and a token column of a group is set if the token is in a member's prefix, its
+3. The matrix: the remaining sets are partitioned into groups of about ``GROUP``: those of a label with so many
+   by label, others by their most widespread crossing token and size, so that a family's scattered members
+   share few groups. A token column of a group is set if the token is in a member's prefix, its
    ``n - o + 1`` rarest tokens. Groups without a common column hold no link. For the others each query of one group is bounded by its overlap
    with the other's union, and opens the group only if that reaches o; the exact similarity decides.
 
@@ -24,6 +25,8 @@ labels is lost.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -34,7 +37,9 @@ from vigia.llm.common import (
 SIGNATURES = 8
 AGREE = 3
 _LOWEST = "min(struct(doc_id is null as none, doc_id, row_no))"
-GROUP = 32
+GROUP = 32  # sets of a group
+GROUP_TOKENS = 400_000  # and their tokens: long texts make smaller groups
+SIZE_STEP = 1.25  # sizes in a group of small labels differ by this factor at most
 
 
 def token_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +250,7 @@ def _crossing(rows: DataFrame) -> DataFrame:
 
 
 def _all_tokens(texts: DataFrame, words: int, only: BitFilter | None = None) -> DataFrame:
-    """(cid, g, n, bucket, token) of every shingle of (cid, g, n, bucket, text), or of those in a filter."""
+    """(cid, g, n, token) of every shingle of (cid, g, n, text), or of those in a filter."""
     shared = texts.sparkSession.sparkContext.broadcast(only)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -254,24 +259,24 @@ def _all_tokens(texts: DataFrame, words: int, only: BitFilter | None = None) ->
             hit = shared.value.hits(token)
             row, token = row[hit], token[hit]
         owner = pa.array(row)
-        return pa.record_batch([*(batch.column(c).take(owner) for c in ("cid", "g", "n", "bucket")),
-                                pa.array(token.view(np.int64))], names=["cid", "g", "n", "bucket", "token"])
+        return pa.record_batch([*(batch.column(c).take(owner) for c in ("cid", "g", "n")),
+                                pa.array(token.view(np.int64))], names=["cid", "g", "n", "token"])
 
-    return per_piece(texts, "cid long, g long, n long, bucket long, token long", work)
+    return per_piece(texts, "cid long, g long, n long, token long", work)
 
 
 def _links_between(source: DataFrame, sized: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Links between classes of different labels: (a, b). ``sized``: (cid, g, n, bucket, doc_id, tx, small)."""
+    """Links between classes of different labels: (a, b). ``sized``: (cid, g, n, doc_id, tx, small)."""
     small = sized.select("cid", "g", "n", F.explode("small").alias("token"))
     crossing = stage(_crossing(small), "crossing")
     votes = small.where(_near(crossing, "token")).join(crossing, "token").groupBy("cid", "n").agg(F.count("*").alias("k"))
     floor = F.expr(f"1 + ({percent} * n + 99) div 100 div 20")
     able = votes.where(F.col("k") >= floor).select("cid")
-    wanted = stage(sized.join(able, "cid", "left_semi").select("cid", "g", "n", "bucket", "doc_id", "tx"), "able")
+    wanted = stage(sized.join(able, "cid", "left_semi").select("cid", "g", "n", "doc_id", "tx"), "able")
     if wanted.isEmpty():
         return None
     texts = stage(_texts_of(source, wanted.select("cid", "doc_id", "tx")).join(
-        wanted.select("cid", "g", "n", "bucket"), "cid"), "able_texts")
+        wanted.select("cid", "g", "n"), "cid"), "able_texts")
     shared = stage(_crossing(_all_tokens(texts, words)), "shared")
     # all crossing tokens of each set, and in how many labels they occur
     rows = _all_tokens(texts, words, bit_filter(shared)).join(shared, "token")
@@ -281,12 +286,22 @@ def _links_between(source: DataFrame, sized: DataFrame, words: int, percent: int
     if rows.isEmpty():
         return None
     spread = rows.groupBy("token", "g").agg(F.lit(1).alias("one")).groupBy("token").agg(F.count("*").alias("labels"))
-    place = F.row_number().over(Window.partitionBy("cid").orderBy("labels", "token"))
-    # tokens that do not cross come first in a prefix and join nothing
-    prefix = rows.join(stage(spread.where("labels > 1"), "spread"), "token").withColumn("place", place).where(
-        F.col("place") + (F.col("n") - F.col("k")) <= F.col("n") - needed_ + 1)
-    members = rows.select("cid", "bucket").distinct()
-    count = members.groupBy("bucket").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    # of the tokens that cross, those that still do among the sets left; the others come first in a prefix and join nothing
+    own = Window.partitionBy("cid")
+    ranked = rows.drop("k").join(stage(spread.where("labels > 1"), "spread"), "token").withColumns({
+        "place": F.row_number().over(own.orderBy("labels", "token")), "k": F.count("*").over(own),
+        "hot": F.max(F.struct("labels", "token")).over(own)})
+    prefix = stage(ranked.where((F.col("k") >= needed_) & (F.col("place") + F.col("n") - F.col("k") <= F.col("n") - needed_ + 1))
+                   .select("cid", "g", "n", "token", F.col("hot.token").alias("hot")), "prefix")
+    if prefix.isEmpty():
+        return None
+    members = prefix.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("g", "n", "hot")])
+    wide = members.groupBy("g").count().where(F.col("count") >= GROUP).select("g", F.lit(True).alias("wide"))
+    alike = F.xxhash64("hot", F.floor(F.log("n") / math.log(SIZE_STEP)))
+    members = stage(members.join(wide, "g", "left").select(
+        "cid", "n", F.when(F.col("wide"), F.xxhash64("g")).otherwise(alike).alias("bucket")), "members")
+    count = members.groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).alias("parts"))
     parted = stage(members.join(count, "bucket").select(
         "cid", F.xxhash64("bucket", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("group")), "parted")
     columns = stage(prefix.join(parted, "cid").groupBy("token", "group").agg(
@@ -348,10 +363,9 @@ def similar_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     edges = stage(_verified(pairs, texts, words, percent), "links")
     groups = components(edges)
     # links between labels
-    sized = stage(reps.select("cid", "n", "doc_id", "tx", F.col("signature")[0].alias("minimum"), "small").join(
+    sized = stage(reps.select("cid", "n", "doc_id", "tx", "small").join(
         groups.withColumnRenamed("node", "cid"), "cid", "left").select(
-        "cid", F.coalesce("comp", "cid").alias("g"), "n", "doc_id", "tx",
-        F.when(F.col("comp").isNotNull(), F.xxhash64("comp")).otherwise(F.col("minimum")).alias("bucket"), "small"), "sized")
+        "cid", F.coalesce("comp", "cid").alias("g"), "n", "doc_id", "tx", "small"), "sized")
     more = _links_between(source, sized, words, percent)
     if more is not None and not more.isEmpty():
         groups = components(edges.unionByName(more))

@@ -133,8 +133,6 @@ def test_readers(spark, tmp_path):
         pass
 
 
-@pytest.mark.xfail(reason="open defect: an action on TextClassifier.predict output fails with "
-                          "'cannot evaluate PythonUDF'; training, saving and loading work")
 def test_classifier(spark, tmp_path):
     from vigia.operators import ml
     texts = [(f"verifica tu cuenta bloqueada numero {i}", "phishing") for i in range(12)] + \
@@ -144,4 +142,14 @@ def test_classifier(spark, tmp_path):
     model.save(str(tmp_path / "model"))
     got = ml.TextClassifier.load(str(tmp_path / "model")).predict(rows)
     assert got.where("predicted_label <> label").count() == 0
+    assert got.where("phishing_probability between 0 and 1").count() == len(texts)
     assert ml.ranking_quality(got)["roc_auc"] == 1.0
+    bare = spark.createDataFrame([(None,), ("",)], "text string")
+    assert ml.TextClassifier.load(str(tmp_path / "model")).predict(bare).count() == 2
+
+
+def test_ranking_counts_ties_as_one_step(spark):
+    from vigia.operators import ml
+    rows = [("phishing", 0.9), ("legitimate", 0.8), ("phishing", 0.8), ("legitimate", 0.1), ("phishing", None)]
+    got = ml.ranking_quality(spark.createDataFrame(rows, "label string, phishing_probability double"))
+    assert got == {"roc_auc": 0.875, "average_precision": round(0.5 * 1 + 0.5 * 2 / 3, 4)}

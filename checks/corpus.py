@@ -204,6 +204,23 @@ _NGRAMS = """with w as (select ' ' || unnest(string_split_regex(trim(lower(text)
   select length(gram) as size, count(*) as n, count(distinct gram) as distinct_grams from g group by 1"""
 
 
+def ranking_measures(spark, sf):
+    """Areas under both curves of a score that any engine can repeat: the text's length, with many ties."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+        F.when(F.col("toxic") == 1, "phishing").otherwise("legitimate").alias("label"),
+        (F.length("text") % 1001 / F.lit(1000.0)).alias("phishing_probability"))
+    return ml.ranking_table(rows)
+
+
+_RANKING = """with g as (select length(text) % 1001 / 1000.0::double as p, count_if(toxic = 1) as pos,
+    count_if(toxic is distinct from 1) as neg from documents join labels using (doc_id) where text is not null group by 1),
+  pairs as (select sum(a.pos * b.neg * case when a.p > b.p then 1 when a.p = b.p then 0.5 else 0 end) as won from g a, g b),
+  curve as (select *, sum(pos) over (order by p desc) as tp, sum(neg) over (order by p desc) as fp from g)
+  select sum(pos)::bigint as positives, sum(neg)::bigint as negatives,
+    round(any_value(won)::double / (sum(pos) * sum(neg)), 4) as roc_auc,
+    round(sum(pos * (tp / (tp + fp))) / sum(pos), 4) as average_precision from curve, pairs"""
+
+
 def stix_export(spark, sf):
     tables = writers.analysis_tables(score.scored(spark, sf), PEPPER)
     linked = extract.link_structs(extract.extract_facts(messages(spark, sf)))
@@ -262,6 +279,7 @@ QUERIES = {
         as part, count(*) as rows from (select toxic, row_number() over (partition by toxic order by sha256('20260818|' || doc_id)) as r,
           count(*) over (partition by toxic) as n from documents join labels using (doc_id)) group by 1, 2"""),
     "ngram_counts": (ngram_counts, _NGRAMS),
+    "ranking_measures": (ranking_measures, _RANKING),
     "stix_export": (stix_export, None),
     "stored_analysis": (stored_analysis, None),
 }

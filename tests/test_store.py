@@ -153,3 +153,16 @@ def test_ranking_counts_ties_as_one_step(spark):
     rows = [("phishing", 0.9), ("legitimate", 0.8), ("phishing", 0.8), ("legitimate", 0.1), ("phishing", None)]
     got = ml.ranking_quality(spark.createDataFrame(rows, "label string, phishing_probability double"))
     assert got == {"roc_auc": 0.875, "average_precision": round(0.5 * 1 + 0.5 * 2 / 3, 4)}
+
+
+def test_analysis_is_stored_in_five_tables(spark, tmp_path):
+    from vigia.streaming import jobs
+    body = "Tu cuenta ES91 2100 0418 4502 0005 1332 caduca, entra en https://banco-seguro.example/a?token=abc"
+    batch = spark.createDataFrame([("m1", body, "BANCO"), ("m2", None, None)], "message_id string, body string, sender string")
+    store = jobs.score_batches(b"pepper", str(tmp_path))
+    store(batch, 3)
+    store(batch, 3)  # a repeated batch replaces its rows
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in ("messages", "extractions", "signals", "verdicts", "artifacts")}
+    assert tables["messages"].count() == tables["verdicts"].count() == 2
+    assert {r.artifact_type for r in tables["artifacts"].where("message_id = 'm1'").collect()} >= {"domain"}
+    assert not any("2100 0418" in str(r) for df in tables.values() for r in df.collect())

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigia.functions import hashing, pii
+from vigia.operators import campaigns
 from vigia.operators.evidence import evidence_rows
 
 
 def analysis_tables(scored: DataFrame, pepper: bytes,
                     model_version: str = "local-extractor-v1") -> dict[str, DataFrame]:
-    """messages, extractions, signals and verdicts of a scored batch, ready to store: bodies, links
-    and evidence values redacted, references pseudonymised. Artifacts come from
-    ``campaigns.attach_campaign``."""
+    """messages, extractions, signals, verdicts and artifacts of a scored batch, ready to store: bodies,
+    links and evidence values redacted, references pseudonymised. All artifacts of a message are stored."""
     column = lambda n, t="string": (
         F.col(n) if n in scored.columns else F.lit(None)).cast(t)
     messages = scored.select(
@@ -36,12 +37,22 @@ def analysis_tables(scored: DataFrame, pepper: bytes,
         F.element_at("rule_trace", 1)["version"].alias("ruleset_version"), "rule_trace",
         column("received_at", "timestamp").alias("created_at"))
     return {"messages": messages, "extractions": extractions, "signals": signals,
-            "verdicts": verdicts}
+            "verdicts": verdicts,
+            "artifacts": campaigns.build_artifacts(scored, pepper, limits=campaigns.ALL_ARTIFACTS)}
 
 
-def write_analysis(tables: dict[str, DataFrame], root: str) -> None:
-    for name, df in tables.items():
-        df.write.mode("append").parquet(f"{root}/{name}")
+def write_analysis(scored: DataFrame, pepper: bytes, root: str, batch: int | None = None) -> None:
+    """Store the analysis tables. The batch is scored once and kept on the executors' disks until all are
+    written (a lost executor scores its part again). A numbered batch overwrites its own folder when repeated."""
+    once = scored.persist(StorageLevel.DISK_ONLY)
+    try:
+        for name, df in analysis_tables(once, pepper).items():
+            if batch is None:
+                df.write.mode("append").parquet(f"{root}/{name}")
+            else:
+                df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch}")
+    finally:
+        once.unpersist()
 
 
 def append_daily(df: DataFrame, path: str, day: str = "day") -> None:

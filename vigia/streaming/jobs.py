@@ -37,11 +37,10 @@ def score_batches(pepper: bytes, root: str, options: ScoreOptions = ScoreOptions
                   ) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink that stores the analysis tables, one folder per batch: a repeated batch
     overwrites its own rows."""
-    from vigia.sources.writers import analysis_tables
+    from vigia.sources.writers import write_analysis
 
     def store(batch: DataFrame, epoch: int) -> None:
-        for name, table in analysis_tables(score_stream(batch, options), pepper).items():
-            table.write.mode("overwrite").parquet(f"{root}/{name}/batch={epoch}")
+        write_analysis(score_stream(batch, options), pepper, root, epoch)
 
     return store
 

@@ -71,6 +71,42 @@ def test_model_sums_to_one_and_bands_reject(spark):
     assert ngrams.quality_rules(df.limit(0), model=model).count() == 0
 
 
+def test_senseless_word_order_is_rejected(spark):
+    """Texts of real words in random order, and the same in a script without spaces, leave the band."""
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice(["th", "an", "er", "in", "ou"]) for _ in range(3)) + str(k) for k in range(200)]
+    signs = [chr(0x4E00 + 97 * k) for k in range(200)]
+    after = list(zip(*(rnd.sample(range(200), 200) for _ in range(3))))  # all words are equally common
+    docs = []
+    for i in range(240):
+        k, walk = rnd.randrange(200), []
+        for _ in range(150):
+            walk.append(k)
+            k = rnd.choice(after[k])
+        if i % 40 == 0:
+            rnd.shuffle(walk)
+        docs.append((i, " ".join(names[k] for k in walk)))
+        docs.append((1000 + i, " ".join("".join(signs[k] for k in walk[j:j + 3]) for j in range(0, 150, 3))))
+    df = frame(spark, docs).withColumn("lang", F.when(F.col("doc_id") < 1000, "en").otherwise("zh"))
+    got = {r["doc_id"]: r for r in ngrams.quality_rules(df).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    lost = {i for i, r in got.items() if not r["kept"]}
+    assert lost == {i + more for i in range(0, 240, 40) for more in (0, 1000)}
+
+
+def test_word_model_sums_to_one(spark):
+    """Over the words seen after a context and all others by spelling, each half's probabilities stay below
+    one and those of seen words make up what the discounts leave."""
+    rnd = random.Random(6)
+    docs = [(i, " ".join(rnd.choice(["a", "b", "c", "d"]) for _ in range(60))) for i in range(40)]
+    df = frame(spark, docs).withColumn("t", F.xxhash64("text"))
+    spelling = ngrams.train(df)
+    counts = ngrams.count_words(df, spelling).cache()
+    seen = counts.join(ngrams.word_model(counts), "gram").where("a <> 0 and b <> 0")
+    for r in seen.groupBy("a", "b").agg(F.sum(F.exp("p0")), F.sum(F.exp("p1")), F.count("*")).collect():
+        assert r[4] == 4 and 0.97 < r[2] <= 1 + 1e-9 and 0.97 < r[3] <= 1 + 1e-9
+
+
 # ---------------------------------------------------------------- 2
 
 def lattice_ids(v, text):

@@ -173,6 +173,19 @@ def test_longest_rule_wins_in_trie_and_join(spark):
     assert urlrules.judge_urls(df.limit(0), rules).count() == 0
 
 
+def test_host_only_and_slashless_rules_agree(spark):
+    urls = ["http://bad.org", "http://a.bad.org/x/y", "http://bad.org/ok/1", "http://bad.org?q=/ok/", "http://c.net/es/1",
+            "http://c.net", "http://d.net/e", "http://notbad.org/", "http:///x", "nothing", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [("bad.org", "", "block"), ("bad.org", "/ok/", "allow"), ("org", "/", "allow"), ("c.net", "es", "block"),
+             ("c.net", "es/1", "block"), ("D.net", "", "block")]
+    block, ok, none = ("bad.org", "block"), ("bad.org/ok/", "allow"), (None, "allow")
+    want = [block, block, ok, block, none, none, ("D.net", "block"), ("org/", "allow"), none, none, none]
+    for limit in (1 << 20, 0):
+        got = urlrules.judge_urls(df, rules, max_bytes=limit).select("page_id", "rule", "verdict").collect()
+        assert [tuple(r)[1:] for r in sorted(got)] == want
+
+
 # ---------------------------------------------------------------- 5
 
 def brute_repeats(docs, n):

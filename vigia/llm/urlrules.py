@@ -17,8 +17,8 @@ _END = ""  # no host label is empty behind a node's children of this name
 
 
 def split_rule(host: str, path: str) -> tuple[list[str], list[str], str]:
-    """(reversed host labels, complete path segments, open last segment)."""
-    *whole, last = path[1:].split("/") if path.startswith("/") else [""]
+    """(reversed host labels, complete path segments, open last segment) of a path with a leading slash."""
+    *whole, last = path[1:].split("/")
     return host.lower().split(".")[::-1], whole, last
 
 
@@ -26,11 +26,16 @@ def build_trie(rules: list[tuple[str, str, str]]) -> dict:
     """Nested dictionaries: host labels, then under ``_END`` a path node {segments, ends by open segment}."""
     root: dict = {}
     for host, path, verdict in rules:
+        if path and not path.startswith("/"):
+            continue  # no url's path begins like this
         labels, whole, last = split_rule(host, path)
         node = root
         for label in labels:
             node = node.setdefault(label, {})
-        node = node.setdefault(_END, {"next": {}, "open": []})
+        node = node.setdefault(_END, {"next": {}, "open": [], "host": None})
+        if not path:
+            node["host"] = (host, verdict)
+            continue
         for segment in whole:
             node = node["next"].setdefault(segment, {"next": {}, "open": []})
         node["open"].append((last, host + path, verdict))
@@ -41,15 +46,15 @@ def build_trie(rules: list[tuple[str, str, str]]) -> dict:
 def longest_match(trie: dict, host: str, path: str) -> tuple[str | None, str | None]:
     """(rule, verdict) of the longest fitting rule."""
     best, node = (None, None), trie
-    if not host or not path.startswith("/"):
+    if not host:
         return best
-    segments = path[1:].split("/")
+    segments = path[1:].split("/") if path.startswith("/") else []
     for label in reversed(host.split(".")):
         node = node.get(label) if label else None
         if node is None:
             break
         at = node.get(_END)
-        found = None
+        found = at and at["host"]
         for k, segment in enumerate(segments):
             if at is None:
                 break
@@ -78,8 +83,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame,
     """One row for each input row: page_id, host, path, rule, verdict.
 
     ``rules``: (host, path, verdict) tuples or a DataFrame of these columns. Urls without a rule get
-    ``default``; null or malformed urls have empty parts and no rule. A path that does not begin with the
-    rule's fits nothing, the empty path included. Ids and other columns play no part; empty tables give no
+    ``default``; null or malformed urls have empty parts and no rule. A rule fits paths that begin with its
+    own: an empty one fits its whole host, also without a path; one without leading slash fits nothing. Ids and other columns play no part; empty tables give no
     rows. Rules of one host and path that differ in verdict are an error."""
     named = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("__url"))
     host, path = url_parts(F.col("__url"))
@@ -108,15 +113,17 @@ def _judge_by_join(parts: DataFrame, rules: DataFrame, default: str) -> DataFram
     """The same rows for rule sets of any size: each distinct (host, path) is expanded to its host suffixes
     and whole-segment path prefixes, which meet the rules' own in an equality join."""
     seen = parts.select("host", "path").distinct()
-    keys = rules.select(F.lower("host").alias("suffix"), F.regexp_extract("path", "^(.*/)", 1).alias("prefix"),
+    keys = rules.select(F.lower("host").alias("suffix"), F.regexp_extract("path", "(?s)^(.*/)", 1).alias("prefix"),
                         F.col("path").alias("rule_path"), F.concat("host", "path").alias("rule"), "verdict")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
                            lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     steps = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps) - 1),
-                           lambda k: F.concat(F.array_join(F.slice(steps, 1, k), "/"), F.lit("/")))
-    wide = (seen.where((F.col("host") != "") & F.col("path").startswith("/"))
+    # the empty prefix is that of rules for a whole host, which fit the empty path too
+    prefixes = F.when(F.col("path").startswith("/"), F.concat(F.array(F.lit("")), F.transform(
+        F.sequence(F.lit(1), F.size(steps) - 1),
+        lambda k: F.concat(F.array_join(F.slice(steps, 1, k), "/"), F.lit("/"))))).otherwise(F.array(F.lit("")))
+    wide = (seen.where(F.col("host") != "")
             .select("host", "path", F.explode(suffixes).alias("suffix"))
             .select("host", "path", "suffix", F.explode(prefixes).alias("prefix")))
     fits = wide.join(keys, ["suffix", "prefix"]).where(F.expr("startswith(path, rule_path)"))

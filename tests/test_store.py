@@ -1,9 +1,11 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from vigia import schemas as S
-from vigia.operators import campaigns, evidence, hunt, intel, upkeep
+from vigia.functions import urls
+from vigia.operators import campaigns, evidence, extract, hunt, intel, upkeep
 
 NOW = datetime(2026, 8, 20, 12)
 
@@ -92,6 +94,16 @@ def test_text_match_equals_brute_force(spark):
     assert got == want
 
 
+def test_all_artifacts_of_a_long_message_are_built(spark):
+    body = " ".join(f"https://site{k}.example/a/{k}" for k in range(90)) + " " + " ".join(
+        f"+346001{k:05d}" for k in range(25))
+    df = spark.createDataFrame([("m", body, None)], "message_id string, body string, sender_number string")
+    linked = extract.link_structs(df.withColumn("urls", urls.extract_urls(F.col("body"))))
+    found = [(r["artifact_type"], r["value_public"]) for r in campaigns.build_artifacts(linked, b"k").collect()]
+    assert {v for t, v in found if t == "domain"} == {f"site{k}.example" for k in range(90)}
+    assert sum(t == "phone" for t, _ in found) == 25
+
+
 def test_enqueue_is_idempotent(spark):
     found = spark.createDataFrame([("m", "new_threat_indicator", "a.es", {"domain": "a.es"})] * 2,
                                   "message_id string, reason string, reference string, payload map<string,string>")

@@ -29,7 +29,7 @@ ALL_ARTIFACTS = ArtifactLimits(None, None, None, None)
 
 def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
                     redirects: DataFrame | None = None, carry: tuple[str, ...] = (),
-                    limits: ArtifactLimits = ArtifactLimits()) -> DataFrame:
+                    limits: ArtifactLimits = ALL_ARTIFACTS) -> DataFrame:
     """One row per message and artifact. Personal identifiers leave only as keyed hashes.
 
     All artifacts come out of the message's own row, so duplicates are removed there as well and

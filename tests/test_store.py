@@ -104,6 +104,21 @@ def test_all_artifacts_of_a_long_message_are_built(spark):
     assert sum(t == "phone" for t, _ in found) == 25
 
 
+def test_pages_behind_later_links_are_seen(spark):
+    df = spark.createDataFrame([("m", ["https://ok.example/", "https://bad.example/in", "https://bad.example/in"]),
+                                ("n", ["https://ok.example/"]), ("none", [])], "message_id string, urls array<string>")
+    scans = spark.createDataFrame(
+        [("https://ok.example/", "ok.example", 0, 0, False, None, None),
+         ("https://bad.example/in", "other.example", 1, 0, True, "BBVA", 0.9)],
+        "url string, final_domain string, password_fields int, payment_fields int, download_attempted boolean, "
+        "visual_clone_entity string, visual_similarity double")
+    rows = evidence.page_evidence(extract.link_structs(df), scans).select("message_id", "ordinal", "signal.*").collect()
+    hits = sorted((r["message_id"], r["check_name"]) for r in rows if r["status"] == "hit")
+    assert hits == [("m", name) for name in ("browser_credential_form", "browser_cross_domain_navigation",
+                                             "browser_download_attempt", "visual_brand_clone")]
+    assert len({(r["message_id"], r["ordinal"]) for r in rows}) == len(rows) == 3 + 3 + 4
+
+
 def test_enqueue_is_idempotent(spark):
     found = spark.createDataFrame([("m", "new_threat_indicator", "a.es", {"domain": "a.es"})] * 2,
                                   "message_id string, reason string, reference string, payload map<string,string>")

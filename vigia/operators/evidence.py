@@ -415,12 +415,13 @@ def page_scan(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def page_evidence(linked: DataFrame, scans: DataFrame) -> DataFrame:
-    """First link of each message against ``scans(url, final_domain, password_fields,
-    payment_fields, download_attempted, visual_clone_entity, visual_similarity)``."""
-    first = linked.where(F.size("links") > 0).select(
-        "message_id", F.get("links", F.lit(0))["url"].alias("url"),
-        F.get("links", F.lit(0))["domain"].alias("original_domain"))
-    joined = first.join(scans, "url")
+    """Every link of each message against ``scans(url, final_domain, password_fields,
+    payment_fields, download_attempted, visual_clone_entity, visual_similarity)``: the signals of
+    each page once a message, at the page's first link."""
+    links = linked.select("message_id", F.posexplode("links").alias("position", "link")).groupBy(
+        "message_id", F.col("link.url").alias("url")).agg(
+            F.min("position").alias("position"), F.min_by("link.domain", "position").alias("original_domain"))
+    joined = links.join(scans, "url")
     form = (F.col("password_fields") > 0) | (F.col("payment_fields") > 0)
     final = F.col("final_domain")
     clone = F.col("visual_clone_entity").isNotNull() & (F.col("visual_similarity") >= 0.85)
@@ -448,8 +449,10 @@ def page_evidence(linked: DataFrame, scans: DataFrame) -> DataFrame:
                              F.floor(F.col("visual_similarity") * 100).cast("string"),
                              F.lit("% de coincidencia visual).")))),
     ))
-    return joined.select("message_id", F.posexplode(rows).alias("_n", "signal")).select(
-        "message_id", (F.lit(4000) + F.col("_n")).alias("ordinal"), "signal")
+    # below the next source's ordinals whatever the number of links: order among late links is by signal
+    return joined.select("message_id", "position", F.posexplode(rows).alias("_n", "signal")).select(
+        "message_id", (F.lit(4000) + F.least(F.col("position"), F.lit(99)) * 10 + F.col("_n")).alias("ordinal"),
+        "signal")
 
 
 def attach(messages: DataFrame, *evidence: DataFrame, key: str = "message_id") -> DataFrame:

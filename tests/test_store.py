@@ -1,3 +1,4 @@
+import hashlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -119,6 +120,16 @@ def test_pages_behind_later_links_are_seen(spark):
     assert len({(r["message_id"], r["ordinal"]) for r in rows}) == len(rows) == 3 + 3 + 4
 
 
+def test_checksum_gathers_nothing_in_one_row(spark):
+    values = [f"http://h{k % 700}.example/é" for k in range(2000)] + [None, "z", "Z", "😀", "\uffee"]
+    df = spark.createDataFrame([(v,) for v in values], "value string")
+    got = intel.sorted_values_checksum(df)
+    kinds = sorted({v for v in values if v is not None}, key=str.encode)
+    assert tuple(got.first()) == (hashlib.sha256("".join(kinds).encode()).hexdigest(), len(kinds))
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+    assert intel.sorted_values_checksum(df.limit(0)).first()["checksum"] == hashlib.sha256(b"").hexdigest()
+
+
 def test_enqueue_is_idempotent(spark):
     found = spark.createDataFrame([("m", "new_threat_indicator", "a.es", {"domain": "a.es"})] * 2,
                                   "message_id string, reason string, reference string, payload map<string,string>")

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigia.llm import exact, mixing, ngrams, ordinal, repeats, shards, similar, tokens, toxicity, urlrules
+from vigia.llm import audit, exact, mixing, ngrams, ordinal, repeats, shards, similar, tokens, toxicity, urlrules
 from vigia.llm.common import table
 
 # ---------------------------------------------------------------- 1 quality rules
@@ -210,6 +210,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# ---------------------------------------------------------------- 13 filter audit
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by language."""
+    return audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = """
+with d as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, min(doc_id) over (partition by t) as first_id from d),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+  from labels group by doc_id),
+f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    len(ws) < 100 as a, 100 * len(list_distinct(ws)) < 80 * len(ws) as b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) as c,
+    regexp_matches(t, '[#$%&*|]') as d, coalesce(w.doc_id > first_id, false) as e
+  from w left join l on w.doc_id = l.doc_id),
+g as (select part, concat(case when a then 'A' else '' end, case when b then 'B' else '' end, case when c then 'C' else '' end,
+    case when d then 'D' else '' end, case when e then 'E' else '' end) as fails,
+    count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select concat(p.x, q.x, r.x, s.x, t.x) as o from letters p, letters q, letters r, letters s, letters t
+  where p.x not in (q.x, r.x, s.x, t.x) and q.x not in (r.x, s.x, t.x) and r.x not in (s.x, t.x) and s.x <> t.x),
+steps as (select o, k::int as k, substr(o, k::int, 1) as x, substr(o, 1, k::int - 1) as earlier from orders, range(1, 6) r(k)),
+m as (select part, o, k, x,
+    case when contains(fails, x) then 1 else 0 end as hit,
+    case when earlier <> '' and len(translate(fails, earlier, '')) < len(fails) then 1 else 0 end as gone,
+    case when fails = x then 1 else 0 end as alone, n, good, toxic from g, steps),
+s as (select part, o as filter_order, k as step, x,
+    sum(case when hit = 0 and gone = 0 then n else 0 end)::bigint as kept, sum(hit * (1 - gone) * n)::bigint as removed,
+    sum(hit * gone * n)::bigint as redundant, sum(alone * n)::bigint as unique_fails,
+    sum(hit * (1 - gone) * good)::bigint as good_lost, sum(hit * (1 - gone) * toxic)::bigint as toxic_lost from m group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, x))::bigint as shapley from s"""
+
+
 QUERIES = {
     "op1_quality_rules": (op1_quality_rules, None),
     "op2_pieces": (op2_pieces, None),
@@ -221,4 +258,5 @@ QUERIES = {
     "op8_quality_grades": (op8_quality_grades, None),
     "op9_sharding": (op9_sharding, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op13_filter_audit": (op13_filter_audit, OP13_SQL),
 }

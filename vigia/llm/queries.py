@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigia.llm import audit, exact, mixing, ngrams, ordinal, repeats, shards, similar, tokens, toxicity, urlrules
+from vigia.llm import audit, exact, mixing, ngrams, ordinal, repeats, shards, similar, tokens, topk, toxicity, turntrie, urlrules
 from vigia.llm.common import table
 
 # ---------------------------------------------------------------- 1 quality rules
@@ -210,6 +210,60 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+# ---------------------------------------------------------------- 11 conversation prefixes
+
+
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return turntrie.conversation_trie(table(spark, sf_dir, "conversations"), rebuilt=True)
+
+
+OP11_SQL = """
+with t as (select conv_id, k, id, words, conv_id - conv_id % 20 as base from (
+    select *, row_number() over (partition by conv_id order by turn nulls first, id) as k from (
+      select conv_id, turn, sha256(concat(strlen(coalesce(role, ''))::varchar, ':', coalesce(role, ''), coalesce(text, ''))) as id,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as words from conversations where conv_id is not null))),
+crc as (select list(e order by n) as c from (select n, list_reduce(list_prepend(n, range(8)),
+    lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as e from range(256) r(n))),
+h as (select conv_id, base, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(conv_id::varchar) + 1),
+    lambda i: ascii(substr(conv_id::varchar, i::int, 1))::bigint)), lambda a, d: xor(a >> 8, c[(xor(a, d) & 255) + 1])), 4294967295) % 4 as h
+  from (select distinct conv_id, base from t), crc),
+own as (select base, max(k) as n from t where conv_id = base group by base),
+r as (select h.conv_id, t.k as pos, t.id, t.words from h join t on t.conv_id = h.base where t.k <= h.h
+  union all select h.conv_id, t.k - h.h + least(h.h, coalesce(own.n, 0)), t.id, t.words
+    from h join t on t.conv_id = h.conv_id left join own on own.base = h.base where t.k > h.h),
+m as (select conv_id, 0::bigint as depth, '' as path, 0::bigint as words from h
+  union all select conv_id, row_number() over w, string_agg(id, '') over w, words from r
+    window w as (partition by conv_id order by pos rows between unbounded preceding and current row)),
+n as (select path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from m group by path),
+kids as (select left(path, (depth - 1)::int * 64) as path, count(*) as n_children from n where depth > 0 group by all),
+whole as (select conv_id, max(depth) as depth from m group by conv_id),
+ends as (select path, sha256(string_agg(m.conv_id::varchar, ',' order by m.conv_id)) as ends from m join whole using (conv_id, depth) group by path),
+below as (select left(n.path, d::int * 64) as path, sum(case when kids.path is null then 1 else 0 end) as n_leaves, sum((n_convs - 1) * words) as saved
+  from n left join kids using (path), range(0, 10000) r(d) where d <= depth group by all)
+select n.conv_id, n.depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint as n_children, n_leaves::bigint as n_leaves,
+  saved::bigint as saved_tokens, coalesce(ends, sha256('')) as ends_sha256
+from n join below using (path) left join kids using (path) left join ends using (path)
+left join n p on n.depth > 0 and p.path = left(n.path, (n.depth - 1)::int * 64)"""
+
+
+# ---------------------------------------------------------------- 12 exact search
+
+
+def op12_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best products of every 50th vector with all other vectors."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+OP12_SQL = """
+with v as (select row_number() over () as row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.row_no, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.row_no <> c.row_no and len(q.e) = len(c.e) where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by row_no order by score desc, vec_id nulls last)::int as rank from s) where rank <= 5"""
+
+
 # ---------------------------------------------------------------- 13 filter audit
 
 
@@ -258,5 +312,7 @@ QUERIES = {
     "op8_quality_grades": (op8_quality_grades, None),
     "op9_sharding": (op9_sharding, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_conversation_trie": (op11_conversation_trie, OP11_SQL),
+    "op12_exact_search": (op12_exact_search, OP12_SQL),
     "op13_filter_audit": (op13_filter_audit, OP13_SQL),
 }

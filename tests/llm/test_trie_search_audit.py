@@ -186,7 +186,7 @@ def test_each_way_of_pruning_loses_nothing():
                             "body": body[order].tobytes()})
     centres = rnd.normal(size=(4, 16))
     centres *= 900 / np.sqrt((centres ** 2).sum(1))[:, None]
-    body = np.floor((np.repeat(centres, 200, 0) + rnd.normal(size=(800, 16)) * 40) * rnd.choice([0.3, 0.98, 1, 1.02], size=(800, 1)))
+    body = np.floor((np.repeat(centres, 200, 0) + rnd.normal(size=(800, 16)) * 150) * rnd.choice([0.3, 0.98, 1, 1.02], size=(800, 1)))
     order = np.argsort(-np.sqrt((body ** 2).sum(1)))
     ids = np.arange(800, dtype=np.int64)
     buckets = [bucket(body[part], ids[part]) for part in np.array_split(order, 10)]

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import re
+import zipfile
+
+import pyspark
 
 from vigia import fixed
 from vigia.dims import alias_forms, default_brands
 from vigia.functions.text import token_literal
 
-from checks.inputs import LEADS, NOW_SQL, PROVIDERS, SENDERS
+from checks.inputs import FOREIGN, LEADS, NOW_SQL, PROVIDERS, SENDERS
 
 
 def lit(value) -> str:
@@ -96,14 +101,36 @@ def host(url: str) -> str:
             f"'^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.'), '')")
 
 
+def suffix_list() -> list[str]:
+    """The public list as Spark's HTTP client carries it, read here from the archive itself."""
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "httpclient-4*.jar")
+    with zipfile.ZipFile(glob.glob(jars)[0]) as archive:
+        lines = archive.read("mozilla/public-suffix-list.txt").decode().splitlines()
+    return [w.split()[0] for w in lines if w.strip() and not w.startswith("//")] + list(fixed.EXTRA_SUFFIXES)
+
+
+def _suffix_rules() -> str:
+    rules = sorted({spelled for r in suffix_list() for spelled in (r, r.encode("idna").decode() if r.isascii() else
+                    ("!" if r[0] == "!" else "*." if r[:2] == "*." else "") + r.lstrip("!").removeprefix("*.").encode("idna").decode())})
+    return f"""select regexp_replace(r, '^(!|[*][.])', '') as rule, len(string_split(r, '.')) as n,
+      case when r like '!%' then 'x' when r like '*.%' then 'w' else 'e' end as kind
+      from (select unnest(string_split({lit(' '.join(rules))}, ' ')) as r)"""
+
+
 def registrable(name: str) -> str:
-    suffixes = {*fixed.TWO_LABEL_SUFFIXES, *fixed.EXTRA_SUFFIXES}
-    by = lambda n: any_of(sorted(s for s in suffixes if s.count(".") + 1 == n))
-    labels = f"string_split({name}, '.')"
-    tail = lambda n: f"array_to_string({labels}[-{n}:], '.')"
-    return (f"case when regexp_matches({name}, {lit(_IPV4)}) or len({labels}) = 1 then {name} "
-            f"when {tail(4)} in {by(4)} and len({labels}) >= 4 then {tail(5)} "
-            f"when {tail(2)} in {by(2)} then {tail(3)} else {tail(2)} end")
+    """The longest rule whose name ends the host, by a look at every rule."""
+    best = (f"(select max(case when kind = 'x' then 999 + n else n end) % 1000 from suffix_rules where "
+            f"({name} = rule and kind <> 'w') or ends_with({name}, '.' || rule))")
+    return (f"case when regexp_matches({name}, {lit(_IPV4)}) then {name} else "
+            f"array_to_string(string_split({name}, '.')[-(coalesce({best}, 900) + 1):], '.') end")
+
+
+def idna(name: str) -> str:
+    """ASCII form of the international names that the checks use."""
+    for written, ascii_form, _ in FOREIGN:
+        if written != ascii_form:
+            name = f"replace({name}, {lit(written)}, {lit(ascii_form)})"
+    return name
 
 
 def path(url: str) -> str:
@@ -116,9 +143,11 @@ def query(url: str) -> str:
 
 
 def canonical(url: str) -> str:
-    """For http(s) links without port and user part, as the given tables have them."""
+    """For http(s) links; the usual ports and the user part go."""
+    port = f"regexp_extract({url}, '^[a-z]+://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)', 1)"
     return (f"case when {url} like 'http%://%' and not regexp_matches({host(url)}, '\\.[0-9]+$') then "
-            f"regexp_extract({url}, '^(https?://)', 1) || {host(url)} || "
+            f"regexp_extract({url}, '^(https?://)', 1) || {idna(host(url))} || "
+            f"case when {port} in (':80', ':443') then '' else {port} end || "
             f"coalesce(nullif({path(url)}, ''), '/') || "
             f"case when {query(url)} = '' then '' else '?' || {query(url)} end end")
 
@@ -127,7 +156,16 @@ def ordered_distinct(array: str) -> str:
     return f"list_filter({array}, lambda x, i: list_position({array}, x) = i)"
 
 
+_NUMBER = f"page_id % {len(FOREIGN)}"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
+    "suffix_rules": ((), _suffix_rules()),
+    "foreign_pages": ((), f"""
+        select page_id, 'f' || page_id as message_id, {_NUMBER} as k, {cases(_NUMBER, [f[0] for f in FOREIGN])} as ending,
+          coalesce({cases(_NUMBER, [f[2] for f in FOREIGN])}, 'p' || page_id || '.' || {cases(_NUMBER, [f[0] for f in FOREIGN])}) as domain,
+          case when page_id % 2 = 0 then 'https://' else 'http://' end || case when page_id % 3 = 0 then 'usuario:clave@' else '' end
+            || 'p' || page_id || '.' || {cases(_NUMBER, [f[0] for f in FOREIGN])}
+            || case page_id % 4 when 0 then ':8443' when 1 then ':443' else '' end || '/a/' || page_id as url
+        from pages"""),
     "messages": ((), f"""
         select 'm' || d.doc_id as message_id, d.doc_id, d.lang,
           concat_ws(' ', {cases(f'd.doc_id % {len(LEADS)}', LEADS)}, d.text, p.url) as body,
@@ -217,8 +255,12 @@ def sql(select: str, *needs: str, extra: dict[str, str] | None = None) -> str:
         if name not in ordered:
             ordered.append(name)
 
+    wanted = [select, *(extra or {}).values()]
     for need in needs:
         visit(need)
+    if "suffix_rules" in " ".join([*wanted, *(CTES[n][1] for n in ordered)]):
+        ordered.remove("suffix_rules") if "suffix_rules" in ordered else None
+        ordered.insert(0, "suffix_rules")
     parts = [f"{n} as materialized ({CTES[n][1]})" for n in ordered]
     parts += [f"{n} as materialized ({body})" for n, body in (extra or {}).items()]
     return (f"with {', '.join(parts)} " if parts else "") + select

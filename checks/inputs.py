@@ -85,6 +85,43 @@ def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).alias("value"))
 
 
+#: Host endings that need suffix rules or IDNA: (as written, in ASCII, registrable in ASCII).
+FOREIGN = (
+    ("bücher.tienda.co.uk", "xn--bcher-kva.tienda.co.uk", "tienda.co.uk"),
+    ("мойбанк.рф", "xn--80abxggjd.xn--p1ai", "xn--80abxggjd.xn--p1ai"),
+    ("city.kawasaki.jp", "city.kawasaki.jp", "city.kawasaki.jp"),
+    ("pagos.tienda.kawasaki.jp", "pagos.tienda.kawasaki.jp", "pagos.tienda.kawasaki.jp"),
+    ("www.ck", "www.ck", "www.ck"),
+    ("cobros.banco.ck", "cobros.banco.ck", "cobros.banco.ck"),
+    ("usuario.github.io", "usuario.github.io", "usuario.github.io"),
+    ("españa.com.br", "xn--espaa-rta.com.br", "xn--espaa-rta.com.br"),
+    ("straße.de", "strasse.de", "strasse.de"),
+    ("nadie.sinsufijo", "nadie.sinsufijo", None),  # no such suffix: the whole host stands for itself
+    ("xn--bcher-kva.de", "xn--bcher-kva.de", "xn--bcher-kva.de"),
+)
+
+
+def foreign_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, message_id, ending, url): a link for each page, some with user part or port."""
+    number = F.col("page_id")
+    ending = choose(number % len(FOREIGN), [f[0] for f in FOREIGN])
+    url = F.concat(
+        F.when(number % 2 == 0, "https://").otherwise("http://"), F.when(number % 3 == 0, "usuario:clave@").otherwise(""),
+        F.lit("p"), number, F.lit("."), ending,
+        F.when(number % 4 == 0, ":8443").when(number % 4 == 1, ":443").otherwise(""), F.lit("/a/"), number)
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("f"), "page_id").alias("message_id"),
+                                                ending.alias("ending"), url.alias("url"))
+
+
+def foreign_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(provider, ending): the endings as two feeds spell them; the second lists every other page's only."""
+    listed = foreign_urls(spark, sf_dir).select("ending", "page_id")
+    first = listed.select(F.lit("destroylist").alias("provider"), "ending")
+    second = listed.where(F.col("page_id") % len(FOREIGN) % 2 == 0).select(
+        F.lit("urlhaus_hosts").alias("provider"), F.upper("ending").alias("ending"))
+    return first.unionByName(second)
+
+
 PROVIDERS = ("urlhaus", "openphish", "urlhaus_hosts", "destroylist", "extra_feed")
 
 

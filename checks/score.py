@@ -12,7 +12,7 @@ from vigia.plans.score import ScoreOptions, judge, links_of, read_messages, scor
 
 from checks import ctes, text as text_checks
 from checks.ctes import lit, matches, sql
-from checks.inputs import NOW, NOW_EPOCH, NOW_SQL, events, messages, table
+from checks.inputs import NOW, NOW_EPOCH, NOW_SQL, events, foreign_urls, messages, table
 
 WITH_ALIASES = ScoreOptions(aliases=default_aliases())
 
@@ -24,10 +24,11 @@ def scored(spark, sf):
 # --- links ---------------------------------------------------------------------------------------
 
 def url_facts(spark, sf):
-    """Every page address and every link of the messages."""
+    """Every page address, every link of the messages and the international links."""
     pages = table(spark, sf, "pages").select(
         F.concat(F.lit("p"), "page_id").alias("message_id"), F.col("url").alias("body"))
-    both = pages.unionByName(messages(spark, sf).select("message_id", "body"))
+    foreign = foreign_urls(spark, sf).select("message_id", F.col("url").alias("body"))
+    both = pages.unionByName(messages(spark, sf).select("message_id", "body")).unionByName(foreign)
     return links_of(both).select(
         "message_id", "position", "url", "host", "domain", "canonical_url", "path_template",
         "url_length", "label_count", "path_depth", "label_entropy",
@@ -45,19 +46,20 @@ _KEYS = (
     f"list_transform(list_filter(string_split({ctes.query('url')}, '&'), lambda p: regexp_matches(p, '=.')), "
     f"lambda p: lower(string_split(p, '=')[1]))")
 TEMPLATE = (
+    "case when regexp_matches(url, '^[a-z]+://([^/?#]*@|[^/?#]*:8443)') then null else "
     f"domain || coalesce(nullif(array_to_string(list_transform(string_split({ctes.path('url')}, '/'), "
     f"lambda s: case when regexp_matches(s, '{_SEGMENT}') then '{{token}}' else lower(s) end), '/'), ''), '/') "
     f"|| case when len({_KEYS}) > 0 then '?' || array_to_string(list_sort(list_distinct({_KEYS})), '&') "
-    f"else '' end")
+    f"else '' end end")
 _LINK_SQL = f"""select message_id, position, url, host, domain, canonical_url, {TEMPLATE} as path_template,
   length(url) as url_length, len(string_split(host, '.')) as label_count, {DEPTH} as path_depth,
   {ENTROPY} as label_entropy, array_to_string(list_transform(
     range(1, greatest(len(string_split(domain, '.')), 2)),
     lambda i: array_to_string(string_split(domain, '.')[i:], '.')), ' ') as suffixes from all_links"""
-_ALL_LINKS = f"""select *, {ctes.registrable('host')} as domain, {ctes.canonical('url')} as canonical_url
+_ALL_LINKS = f"""select *, {ctes.registrable(ctes.idna('host'))} as domain, {ctes.canonical('url')} as canonical_url
   from (select *, {ctes.host('url')} as host from (
     select message_id, url, position from raw_links union all
-    select 'p' || page_id, url, 0 from pages))"""
+    select 'p' || page_id, url, 0 from pages union all select message_id, url, 0 from foreign_pages))"""
 
 
 def brand_match(spark, sf):
@@ -440,7 +442,7 @@ QUERIES = {
         "select lang, level, count(*) as messages, sum(score)::bigint as total_score, "
         "count_if(hard_rule) as hard from decided join messages using (message_id) group by 1, 2",
         "links", extra=LOCAL)),
-    "url_facts": (url_facts, sql(_LINK_SQL, "raw_links", extra={"all_links": _ALL_LINKS})),
+    "url_facts": (url_facts, sql(_LINK_SQL, "raw_links", "foreign_pages", extra={"all_links": _ALL_LINKS})),
     "brand_match": (brand_match, sql(_brand_sql(), "brands")),
     "evidence_counts": (evidence_counts, sql(
         "select check_name, count(*) as hits, count_if(hard_rule) as hard_hits, "

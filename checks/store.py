@@ -14,8 +14,8 @@ from vigia.sources import readers
 
 from checks import ctes, score, text as text_checks
 from checks.ctes import lit, sql
-from checks.inputs import (NOW, NOW_SQL, PEPPER, PROVIDERS, choose, events, feed_lines, indicators,
-                           messages, snapshots, table)
+from checks.inputs import (FOREIGN, NOW, NOW_SQL, PEPPER, PROVIDERS, choose, events, feed_lines, foreign_feed,
+                           foreign_urls, indicators, messages, snapshots, table)
 
 _EPOCH = lambda c: F.unix_micros(c).alias(c)
 
@@ -29,10 +29,17 @@ def feed_values(spark, sf):
     cells = readers.feed_values(lines.select(F.concat(
         F.lit('"'), "page_id", F.lit('","'), "url", F.lit('",online')).alias("value")),
         "urlhaus", "csv", "url")
-    return hosts.unionByName(urls).unionByName(cells)
+    foreign = foreign_urls(spark, sf)
+    names = readers.feed_values(foreign.select(F.concat(F.lit("p"), "page_id", F.lit("."), F.upper("ending")).alias("value")),
+                                "foreign", "text", "domain")
+    links = readers.feed_values(foreign.select(F.col("url").alias("value")), "foreign", "text", "url")
+    return hosts.unionByName(urls).unionByName(cells).unionByName(names).unionByName(links)
 
 
-_FEED = f"""select distinct 'urlhaus_hosts' as provider, 'domain' as indicator_type, lower(v) as value from (
+_FEED = f"""select distinct 'foreign' as provider, 'domain' as indicator_type, {ctes.idna("'p' || page_id || '.' || ending")} as value
+    from foreign_pages
+  union all select distinct 'foreign', 'url', {ctes.canonical('url')} from foreign_pages
+  union all select distinct 'urlhaus_hosts' as provider, 'domain' as indicator_type, lower(v) as value from (
     select case page_id % 4 when 0 then string_split(value, ' ')[2] when 1 then string_split(value, chr(9))[2]
       when 2 then string_split(value, ' ')[1] end as v from feed_lines where page_id % 4 < 3)
   union all select distinct 'openphish', 'url', {ctes.canonical('url')} from feed_lines
@@ -129,9 +136,28 @@ _ASOF = f"""select event_id, s.snapshot_id from (select *, {ctes.cases(f'user_id
     on e.provider = s.provider and e.ts >= s.fetched_at"""
 
 
+def _foreign_messages(spark, sf):
+    return foreign_urls(spark, sf).select("message_id", F.concat(F.lit("Vea "), "url").alias("body"))
+
+
+def _foreign_indicators(spark, sf):
+    """The international endings as read from two feeds: one value under one or two fresh providers."""
+    feed = foreign_feed(spark, sf)
+    read = None
+    for provider in ("destroylist", "urlhaus_hosts"):
+        own = readers.feed_values(feed.where(F.col("provider") == provider).select(F.col("ending").alias("value")),
+                                  provider, "text", "domain")
+        read = own if read is None else read.unionByName(own)
+    return read.select("provider", "indicator_type", F.col("value").alias("value_public"), F.lit("active").alias("status"))
+
+
 def reputation(spark, sf):
-    rows = intel.reputation_evidence(links_of(messages(spark, sf)), indicators(spark, sf),
-                                     snapshots(spark, sf), NOW)
+    """Feed evidence of all messages, of links with international names and rare suffixes too; some of those are
+    listed by two fresh providers, which makes them hard."""
+    links = links_of(messages(spark, sf).select("message_id", "body").unionByName(_foreign_messages(spark, sf)))
+    known = indicators(spark, sf).select("provider", "indicator_type", "value_public", "status") \
+        .unionByName(_foreign_indicators(spark, sf))
+    rows = intel.reputation_evidence(links, known, snapshots(spark, sf), NOW)
     return rows.select("message_id", "signal.check_name", "signal.weight",
                        F.col("signal.hard_rule").cast("int").alias("hard"))
 
@@ -140,12 +166,12 @@ _REPUTATION = f"""
   select message_id, case when fresh > 0 then 'known_bad_indicator' else 'stale_threat_indicator' end as check_name,
     case when fresh = 0 then 0 when fresh >= 2 then 100 else 60 end as weight, (fresh >= 2)::int as hard from (
     select message_id, x, count(distinct case when fresh then provider end) as fresh from (
-      select distinct l.message_id, l.domain as x, i.provider, s.fresh from links l join indicators i
+      select distinct l.message_id, l.domain as x, i.provider, s.fresh from every_link l join listed i
         on i.indicator_type = 'domain' and i.status = 'active' and contains(i.value_public, '.')
           and (l.domain = i.value_public or l.domain like '%.' || i.value_public)
         join provider_state s on s.provider = i.provider
       union all
-      select distinct l.message_id, l.canonical_url, i.provider, s.fresh from links l join indicators i
+      select distinct l.message_id, l.canonical_url, i.provider, s.fresh from every_link l join listed i
         on i.indicator_type = 'url' and i.status = 'active' and i.value_public = l.canonical_url
         join provider_state s on s.provider = i.provider) group by 1, 2)
   union all select message_id, 'shared_infrastructure_context', 0, 0 from shared"""
@@ -325,7 +351,15 @@ def _candidates(spark, sf):
 
 
 def retro_hunt(spark, sf):
-    return _candidates(spark, sf).select("message_id", "reason", "reference")
+    """Feed and campaign hits among stored messages; links with international names against a feed of exact links."""
+    foreign = _foreign_messages(spark, sf)
+    carried = links_of(foreign).select("message_id", F.lit("domain").alias("artifact_type"), F.col("domain").alias("value_public"))
+    listed = readers.feed_values(foreign_urls(spark, sf).select(F.col("url").alias("value")), "destroylist", "text", "url") \
+        .select("provider", F.lit("destroylist-last").alias("snapshot_id"), "indicator_type", F.col("value").alias("value_public"),
+                F.lit("active").alias("status"))
+    doubtful = foreign.select("message_id", F.lit("no_puedo_confirmarlo").alias("level"))
+    found = hunt.hunt_feeds(hunt.fresh_domains(listed, snapshots(spark, sf), NOW), carried, doubtful)
+    return _candidates(spark, sf).unionByName(found).select("message_id", "reason", "reference")
 
 
 _HUNT = f"""select message_id, 'new_threat_indicator' as reason, value_public as reference from stored
@@ -636,7 +670,7 @@ _TRAILING = """select epoch(h + to_hours(k))::bigint as until, count(*) as analy
 
 _EVENT_EXTRA = {**_STORED}
 QUERIES = {
-    "feed_values": (feed_values, sql(_FEED, "feed_lines")),
+    "feed_values": (feed_values, sql(_FEED, "feed_lines", "foreign_pages")),
     "feed_merge": (feed_merge, _merge_sql(True)),
     "feed_increment": (feed_increment, _merge_sql(False)),
     "snapshot_log": (snapshot_log, _SNAPLOG),
@@ -646,14 +680,20 @@ QUERIES = {
         "select provider, snapshot_id, version, epoch_us(fetched_at) as fetched_at from latest", "latest")),
     "feed_health": (feed_health, sql(_HEALTH, "latest", "indicators", "policies")),
     "snapshot_as_of": (snapshot_as_of, sql(_ASOF, "snapshots")),
-    "reputation": (reputation, sql(_REPUTATION, "links", "indicators", "provider_state",
-                                   extra={"shared": score.EVIDENCE["shared"]})),
+    "reputation": (reputation, sql(_REPUTATION, "links", "indicators", "provider_state", "foreign_pages", extra={
+        "every_link": f"""select message_id, domain, canonical_url from links
+          union all select message_id, domain, {ctes.canonical('url')} from foreign_pages""",
+        "listed": f"""select provider, indicator_type, status, value_public from indicators union all
+          select distinct unnest(case when k % 2 = 0 then ['destroylist', 'urlhaus_hosts'] else ['destroylist'] end), 'domain',
+            'active', {ctes.cases('k', [f[1] for f in FOREIGN])} from foreign_pages""",
+        "shared": score.EVIDENCE["shared"].replace("from links", "from every_link")})),
     "campaign_text": (campaign_text, sql(_TEXTS, extra=_CAMPAIGNS)),
     "artifact_sets": (artifact_sets, sql(_ARTIFACTS, "links", extra={
         **text_checks.REDACTED, **text_checks.simhash_ctes("select message_id as id, t as text from redacted")})),
     "campaign_artifacts": (campaign_artifacts, sql(_BEST, extra=_STORED)),
     "campaign_rollup": (campaign_rollup, sql(_ROLLUP, extra={**_CAMPAIGNS, "texts": _TEXTS})),
-    "retro_hunt": (retro_hunt, sql(_HUNT, extra=_STORED)),
+    "retro_hunt": (retro_hunt, sql(f"""{_HUNT}
+      union all select message_id, 'new_threat_indicator', domain from foreign_pages""", "foreign_pages", extra=_STORED)),
     "review_enqueue": (review_enqueue, sql(_ENQUEUE, extra={**_STORED, "hunted": _HUNT})),
     "review_queue": (review_queue, sql(
         """select dedupe_key, message_id, case when event_type = 'signup' then 'estafa' else 'no_puedo_confirmarlo' end

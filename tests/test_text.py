@@ -91,3 +91,29 @@ def test_keyed_hash_and_uuid5(spark):
         hmac.new(b"k" * 80, b"abc", hashlib.sha256).hexdigest(), None]
     assert values(spark, ["x:y"], lambda c: hashing.uuid5(uuid.NAMESPACE_URL, c)) == [
         str(uuid.uuid5(uuid.NAMESPACE_URL, "x:y"))]
+
+
+def test_suffix_rules_longest_wins_in_plan_and_join(spark):
+    """Normal, wildcard, exception, private and international rules; the plan's literal and the join agree."""
+    from vigia.functions import suffixes as sx
+    lines = ["// comment", "", "com", "uk", "co.uk", "jp", "kawasaki.jp", "*.kawasaki.jp", "!city.kawasaki.jp", "*.ck", "!www.ck",
+             "github.io", "io", "рф", "CO.Nz  trailing words"]
+    hosts = {"a.b.co.uk": "b.co.uk", "co.uk": "co.uk", "x.city.kawasaki.jp": "city.kawasaki.jp", "y.x.foo.kawasaki.jp": "x.foo.kawasaki.jp",
+             "foo.kawasaki.jp": "foo.kawasaki.jp", "www.ck": "www.ck", "a.www.ck": "www.ck", "a.b.ck": "a.b.ck", "b.ck": "b.ck", "ck": "ck",
+             "a.b.unknown": "a.b.unknown", "10.0.0.1": "10.0.0.1", "u.github.io": "u.github.io", "v.u.github.io": "u.github.io",
+             "a.xn--80abxggjd.xn--p1ai": "xn--80abxggjd.xn--p1ai", "x.co.nz": "x.co.nz", "com": "com", "": "", None: None}
+    df = spark.createDataFrame([(h, 1) for h in hosts], "h string, name int").repartition(3)
+    rules = sx.parse_rules(lines)
+    got = {r["h"]: r["d"] for r in df.select("h", ur.registrable(F.col("h"), rules).alias("d")).collect()}
+    assert got == hosts
+    table = sx.rules_table(spark.createDataFrame([(x,) for x in lines], "value string"))
+    joined = sx.with_registrable(df, "h", "d", table)
+    assert joined.columns == ["h", "name", "d"] and {r["h"]: r["d"] for r in joined.collect()} == hosts
+
+
+def test_international_names_reach_their_ascii_form(spark):
+    given = ["http://u:p@Bücher.example:8080/x", "straße.de", "日本語。jp", "a..b", "x" * 64 + ".com", " \".МОЙБАНК.РФ.\" ", "bad_label.com", None]
+    assert values(spark, given, ur.normal_domain) == [
+        "xn--bcher-kva.example", "strasse.de", "xn--wgv71a119e.jp", None, None, "xn--80abxggjd.xn--p1ai", None, None]
+    urls = ["https://u:p@bücher.de:8443/a?b#c", "http://straße.de:80", "https://x.de:99999/", "ftp://x.de/"]
+    assert values(spark, urls, ur.canonical_url) == ["https://xn--bcher-kva.de:8443/a?b", "http://strasse.de/", None, None]

@@ -1,24 +1,17 @@
 """Hosts, domains and links as Column expressions.
 
-International host names need IDNA, which Spark lacks: one Arrow UDF converts the few hosts that
-are not plain ASCII; every other row sends it a null.
+International host names take their IDNA form on the JVM; nothing here needs a Python worker.
 """
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from vigia import fixed
 from vigia.functions import pii
+from vigia.functions.suffixes import MAX_INLINE, SuffixRules, default_rules, to_ascii, to_shown
 from vigia.functions.text import let, token
 
-# The UDF below travels with its plan: workers need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 _IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 _IPV6 = r"^[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7}(?:\.[0-9.]+)?$"
 
@@ -65,70 +58,36 @@ def is_ip(name: Column) -> Column:
     return name.rlike(_IPV4) | name.rlike(_IPV6)
 
 
-_IDNA = T.StructType([
-    T.StructField("ascii", T.StringType()), T.StructField("shown", T.StringType()),
-])
-
-
-def _idna_one(name: str | None) -> tuple[str | None, str | None]:
-    if name is None:
-        return None, None
-    try:
-        ascii_name = name.encode("idna").decode("ascii")
-    except (UnicodeError, ValueError):
-        return None, None
-    try:
-        shown = ascii_name.encode("ascii").decode("idna")
-    except (UnicodeError, ValueError):
-        shown = ascii_name
-    return ascii_name, shown
-
-
-@F.pandas_udf(T.ArrayType(_IDNA))
-def _idna_batch(names: pd.Series) -> pd.Series:
-    return names.map(
-        lambda row: None if row is None
-        else [dict(zip(("ascii", "shown"), _idna_one(n))) for n in row])
-
-
 def idna_hosts(names: Column) -> Column:
     """array<host> -> array<struct<ascii, shown>>; ascii is null for a host that is not valid."""
-    foreign = F.exists(
-        names, lambda n: (F.octet_length(n) != F.char_length(n)) | n.contains("xn--"))
-    plain = F.transform(names, lambda n: F.struct(
-        F.when(~n.rlike(r"(^|\.)(\.|$)|[^.]{64,}"), n).alias("ascii"), n.alias("shown")))
-    return F.when(F.coalesce(foreign, F.lit(False)), _idna_batch(F.when(foreign, names))) \
-        .otherwise(plain)
+    return F.transform(names, lambda n: let(to_ascii(n), lambda a: F.struct(
+        a.alias("ascii"), F.coalesce(to_shown(a), n).alias("shown"))))
 
 
-def registrable(ascii_host: Column, extra_suffixes: tuple[str, ...] = fixed.EXTRA_SUFFIXES) -> Column:
-    """Longest known suffix plus one label; addresses and bare suffixes stay as they are."""
-    known = {*fixed.TWO_LABEL_SUFFIXES, *extra_suffixes}
-    longest = max(s.count(".") + 1 for s in known)
+def registrable(host_name: Column, rules: SuffixRules | None = None) -> Column:
+    """Longest known suffix plus one label, in the spelling of the host; addresses, bare suffixes and hosts
+    without a known suffix stay as they are."""
+    known = rules or default_rules()
+    if known.size > MAX_INLINE:
+        raise ValueError("too many suffix rules for a plan: use suffixes.with_registrable")
 
     def cut(name: Column) -> Column:
-        labels = F.split(name, r"\.")
-        count = F.size(labels)
-        ladder = F.when(is_ip(name), count)
-        for n in range(longest, 1, -1):
-            of_size = sorted(s for s in known if s.count(".") + 1 == n)
-            if of_size:
-                ladder = ladder.when(
-                    (count >= n) & F.substring_index(name, ".", -n).isin(*of_size), n)
-        return let(ladder.otherwise(1), lambda size: F.when(count <= size, name).otherwise(
-            F.call_function("substring_index", name, F.lit("."), -(size + 1))))
+        unknown = 1 if known.any_last_label else 0
+        size = F.when(is_ip(name), 0).otherwise(F.greatest(known.suffix_labels(name), F.lit(unknown)))
+        return let(size, lambda n: F.when((n == 0) | (n >= F.size(F.split(name, r"\."))), name).otherwise(
+            F.call_function("substring_index", name, F.lit("."), -(n + 1))))
 
-    return F.when(ascii_host.isNotNull(), let(ascii_host, cut))
+    return F.when(host_name.isNotNull(), let(host_name, cut))
 
 
 def ascii_registrable(name: Column) -> Column:
-    """Registrable domain of a host that is known to be ASCII (stored hosts, feed values)."""
-    valid = ~name.rlike(r"(^|\.)(\.|$)|[^.]{64,}") & (F.octet_length(name) == F.char_length(name))
-    return F.when(valid, registrable(name))
+    """Registrable domain of a stored host or feed value in ASCII; null for a name that is not valid."""
+    return registrable(to_ascii(name))
 
 
 def normal_domain(value: Column) -> Column:
-    """Feed value as a domain, or null: ASCII labels of at most 63, the last not a number."""
+    """Feed value as a domain in ASCII, or null: labels of at most 63 letters, digits and inner hyphens, the last
+    not a number; international names in their IDNA form."""
     shape = r"^(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?$"
 
     def check(name: Column) -> Column:
@@ -136,7 +95,7 @@ def normal_domain(value: Column) -> Column:
 
     bare = let(F.lower(F.btrim(F.trim(value), F.lit('."'))),
                lambda v: F.when(v.contains("://"), host(v)).otherwise(v))
-    return let(bare, check)
+    return let(let(bare, to_ascii), check)
 
 
 def canonical_url(url: Column) -> Column:

@@ -234,15 +234,16 @@ def _hmac(value: str) -> str:
     return text_checks._PSEUDONYM.replace("user_reference", value)
 
 
-_ARTIFACTS = f"""select artifact_type, count(*) as n, count(distinct h) as distinct_values, max(h) as largest from (
-    select distinct message_id, 'domain' as artifact_type, sha256(domain) as h from links
+ARTIFACT_ROWS = f"""select distinct message_id, 'domain' as artifact_type, sha256(domain) as h from links
     union all select distinct message_id, 'url_path_template', sha256({score.TEMPLATE}) from links
     union all select distinct message_id, 'phone', {_hmac("v")} from (
       select message_id, regexp_replace(unnest(list_append(regexp_extract_all(body, {lit(text_checks._PHONE)}, 1),
         coalesce(sender_number, ''))), '[^0-9]', '', 'g') as v from read) where v <> ''
     union all select message_id, 'iban', {_hmac("'ES9121000418450200051332'")} from read where {text_checks._IBAN}
     union all select id, 'text_fingerprint', sha256((case when fp > 9223372036854775807
-        then fp::hugeint - 18446744073709551616 else fp end)::varchar) from prints where fp <> 0) group by 1"""
+        then fp::hugeint - 18446744073709551616 else fp end)::varchar) from prints where fp <> 0"""
+_ARTIFACTS = f"""select artifact_type, count(*) as n, count(distinct h) as distinct_values, max(h) as largest
+    from ({ARTIFACT_ROWS}) group by 1"""
 
 
 def _stored_artifacts(spark, sf):

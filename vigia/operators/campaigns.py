@@ -27,13 +27,13 @@ class ArtifactLimits:
 ALL_ARTIFACTS = ArtifactLimits(None, None, None, None)
 
 
-def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
-                    redirects: DataFrame | None = None, carry: tuple[str, ...] = (),
-                    limits: ArtifactLimits = ALL_ARTIFACTS) -> DataFrame:
-    """One row per message and artifact. Personal identifiers leave only as keyed hashes.
+def with_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
+                   redirects: DataFrame | None = None, limits: ArtifactLimits = ALL_ARTIFACTS,
+                   simhash: Column | None = None) -> DataFrame:
+    """Adds ``artifacts``, the distinct artifacts of each message. Personal identifiers leave only as keyed hashes.
 
-    All artifacts come out of the message's own row, so duplicates are removed there as well and
-    nothing is shuffled (``redirects(message_id, final_domain)`` needs one join)."""
+    All artifacts come out of the message's own row, so nothing is shuffled (``redirects(message_id,
+    final_domain)`` needs one join). ``simhash``: the fingerprint, where it is known already."""
     def head(array: Column, count: int | None) -> Column:
         return F.slice(array, 1, count) if count else array
 
@@ -55,7 +55,7 @@ def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
                  limits.phones),
             lambda p: F.regexp_replace(p, r"(?U)\D", "")), lambda p: p != ""),
         "_ibans": head(pii.valid_ibans(text), limits.ibans),
-        "_simhash": tx.pin(tx.simhash(pii.redact(text))),
+        "_simhash": simhash if simhash is not None else tx.pin(tx.simhash(pii.redact(text))),
     })
     if redirects is not None:
         moved = redirects.groupBy("message_id").agg(
@@ -77,9 +77,20 @@ def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
         .otherwise(F.array().cast("array<struct<artifact_type:string,value_hash:string,"
                                   "value_public:string,source:string>>")),
     )
-    return staged.select(
-        "message_id", *carry, F.explode_outer(head(F.array_distinct(found), limits.total)).alias("a")
-    ).where("a is not null").select("message_id", *carry, "a.*")
+    return staged.withColumn("artifacts", head(F.array_distinct(found), limits.total)) \
+        .drop("_links", "_phones", "_ibans", "_simhash", "_final")
+
+
+def build_artifacts(linked: DataFrame, pepper: bytes, body: str = "body", *,
+                    redirects: DataFrame | None = None, carry: tuple[str, ...] = (),
+                    limits: ArtifactLimits = ALL_ARTIFACTS) -> DataFrame:
+    """One row per message and artifact (see ``with_artifacts``)."""
+    return artifact_rows(with_artifacts(linked, pepper, body, redirects=redirects, limits=limits), *carry)
+
+
+def artifact_rows(messages: DataFrame, *carry: str) -> DataFrame:
+    return messages.select("message_id", *carry, F.explode_outer("artifacts").alias("a")) \
+        .where("a is not null").select("message_id", *carry, "a.*")
 
 
 def attach_campaign(artifacts: DataFrame, assignment: DataFrame, at: datetime) -> DataFrame:

@@ -337,10 +337,16 @@ def network_evidence(
 ) -> DataFrame:
     """Rows from collected facts: ``domain_facts(domain, registered_at, cert_issued_at)`` and
     ``redirect_facts(url, hops, final_domain)``, one row per key. A missing fact is not
-    applicable, never evidence."""
+    applicable, never evidence. A table may carry ``check_status``: a collection that ended in
+    ``timeout`` or ``error`` is reported as that."""
     rows = first_domains(linked, budget)
-    joined = rows.join(domain_facts.withColumn("_dom", F.lit(True)), "domain", "left") \
-        .join(redirect_facts.withColumn("_red", F.lit(True)), "url", "left")
+    def told(facts: DataFrame, flag: str, state: str) -> DataFrame:
+        failed = F.col("check_status") if "check_status" in facts.columns else F.lit(None).cast("string")
+        return facts.withColumns({flag: F.lit(True), state: F.when(failed.isin(S.TIMEOUT, S.ERROR), failed)}) \
+            .drop("check_status")
+
+    joined = rows.join(told(domain_facts, "_dom", "_dom_failed"), "domain", "left") \
+        .join(told(redirect_facts, "_red", "_red_failed"), "url", "left")
 
     def days_since(column: str) -> Column:
         seconds = F.unix_timestamp(F.lit(now)) - F.unix_timestamp(column)
@@ -357,25 +363,25 @@ def network_evidence(
     moved = (F.col("hops") > 0) & (F.col("final_domain") != F.col("domain")) \
         & ~F.coalesce(official_final, F.lit(False))
 
-    def known(has: Column) -> Column:
-        return F.when(F.coalesce(has, F.lit(False)), S.MISS).otherwise(S.NOT_APPLICABLE)
+    def known(has: Column, failed: str) -> Column:
+        return F.when(F.coalesce(has, F.lit(False)), F.coalesce(failed, F.lit(S.MISS))).otherwise(S.NOT_APPLICABLE)
 
     domain = F.col("domain")
     rows_ = F.array(
-        signal("domain_age", (age < 30) & ~ip, weight=F.when(young_hard, 100).otherwise(45),
+        signal("domain_age", (age < 30) & ~ip & F.col("_dom_failed").isNull(), weight=F.when(young_hard, 100).otherwise(45),
                severity=F.when(young_hard, S.CRITICAL).otherwise(S.WARNING), hard=young_hard,
                source="rdap", domain=domain, value=_json(domain=domain, age_days=age),
-               otherwise=known(F.col("_dom") & ~ip),
+               otherwise=known(F.col("_dom") & ~ip, "_dom_failed"),
                summary=F.concat(F.lit("El dominio se registró hace solo "),
                                 age.cast("string"), F.lit(" días."))),
-        signal("tls_certificate_age", (tls < 7) & ~ip, weight=20, severity=S.WARNING,
+        signal("tls_certificate_age", (tls < 7) & ~ip & F.col("_dom_failed").isNull(), weight=20, severity=S.WARNING,
                source="tls", domain=domain, value=_json(domain=domain, age_days=tls),
-               otherwise=known(F.col("_dom") & ~ip),
+               otherwise=known(F.col("_dom") & ~ip, "_dom_failed"),
                summary=F.concat(F.lit("El certificado web se emitió hace solo "),
                                 tls.cast("string"), F.lit(" días."))),
-        signal("redirect_chain", moved, weight=20, severity=S.WARNING, source="http",
+        signal("redirect_chain", moved & F.col("_red_failed").isNull(), weight=20, severity=S.WARNING, source="http",
                value=_json(hops=F.col("hops"), final_domain=F.col("final_domain")),
-               otherwise=known(F.col("_red")),
+               otherwise=known(F.col("_red"), "_red_failed"),
                summary=F.concat(F.lit("El enlace redirige a otro dominio: "),
                                 F.col("final_domain"), F.lit("."))),
     )

@@ -11,6 +11,7 @@ from vigia import schemas as S
 from vigia.dims import Brand, SenderAlias
 from vigia.functions import pii, text, urls
 from vigia.operators import campaigns, evidence, extract, intel, scoring
+from vigia.session import stage_table
 
 
 @dataclass(frozen=True)
@@ -71,34 +72,62 @@ def links_of(messages: DataFrame, body: str = "body") -> DataFrame:
         "message_id", urls.extract_urls(F.col(body)).alias("urls")))
 
 
-def score_against_store(messages: DataFrame, store: Store, now: datetime, pepper: bytes, *,
-                        options: ScoreOptions = ScoreOptions(), consensus: int = S.PROVIDER_CONSENSUS,
-                        window_days: int = S.CAMPAIGN_WINDOW_DAYS,
-                        min_types: int = S.MIN_ARTIFACT_TYPES) -> DataFrame:
-    """Verdicts with all evidence that the stored tables can give. Each source contributes only the
-    messages it matched; they meet the batch in one join on the message id."""
-    read = read_messages(messages, options)
-    joined: list[DataFrame] = []
+def stage_facts(messages: DataFrame, pepper: bytes, *, options: ScoreOptions = ScoreOptions(),
+                qr_payloads: DataFrame | None = None) -> DataFrame:
+    """Everything that the evidence of a batch asks of its messages, worked out once and written to the shared
+    folder: facts and local signals (``read_messages``), link rows with canonical links, the fingerprint of the
+    redacted text and the artifacts. Each source of evidence then scans only the columns it joins on."""
+    read = read_messages(messages, options, qr_payloads=qr_payloads)
+    read = read.withColumns({
+        "simhash": text.pin(text.simhash(pii.redact(F.col("body")))),
+        "link_rows": text.pin(F.transform("links", lambda link: F.struct(
+            link["url"].alias("url"), link["host"].alias("host"), link["domain"].alias("domain"),
+            urls.canonical_url(link["url"]).alias("canonical_url"))))})
+    return stage_table(campaigns.with_artifacts(read, pepper, simhash=F.col("simhash")), "facts")
+
+
+def staged_links(facts: DataFrame) -> DataFrame:
+    """(message_id, position, url, host, domain, canonical_url) of staged facts."""
+    return facts.select("message_id", F.posexplode("link_rows").alias("position", "link")).select(
+        "message_id", "position", "link.*")
+
+
+def store_evidence(facts: DataFrame, store: Store, now: datetime, *, consensus: int = S.PROVIDER_CONSENSUS,
+                   window_days: int = S.CAMPAIGN_WINDOW_DAYS,
+                   min_types: int = S.MIN_ARTIFACT_TYPES) -> list[DataFrame]:
+    """Rows (message_id, ordinal, signal) of each stored source for staged facts."""
+    links, joined = staged_links(facts), []
     if store.domain_facts is not None and store.redirect_facts is not None:
-        joined.append(evidence.network_evidence(
-            read, store.domain_facts, store.redirect_facts, now))
+        joined.append(evidence.network_evidence(facts, store.domain_facts, store.redirect_facts, now))
     if store.indicators is not None and store.snapshots is not None:
-        joined.append(intel.reputation_evidence(
-            links_of(messages), store.indicators, store.snapshots, now, consensus=consensus))
+        joined.append(intel.reputation_evidence(links, store.indicators, store.snapshots, now, consensus=consensus))
     else:
-        joined.append(intel.shared_platform_evidence(links_of(messages)))
+        joined.append(intel.shared_platform_evidence(links))
     if store.hash_list is not None:
-        joined.append(evidence.hash_list_evidence(links_of(messages), store.hash_list))
+        joined.append(evidence.hash_list_evidence(links, store.hash_list))
     if store.page_scans is not None:
-        joined.append(evidence.page_evidence(read, store.page_scans))
+        joined.append(evidence.page_evidence(facts, store.page_scans))
     if store.campaigns is not None:
         if store.artifacts is not None:
-            found = campaigns.build_artifacts(read, pepper)
             joined.append(campaigns.artifact_evidence(campaigns.match_artifacts(
-                found, store.artifacts, store.campaigns, now, window_days=window_days,
+                campaigns.artifact_rows(facts), store.artifacts, store.campaigns, now, window_days=window_days,
                 min_types=min_types)))
-        prints = messages.select("message_id", text.pin(text.simhash(pii.redact(F.col("body"))))
-                                 .alias("simhash"))
         joined.append(campaigns.text_evidence(campaigns.match_texts(
-            prints, store.campaigns, now, window_days=window_days)))
-    return judge(evidence.attach(read, *joined), options)
+            facts.select("message_id", "simhash"), store.campaigns, now, window_days=window_days)))
+    return joined
+
+
+def score_facts(facts: DataFrame, store: Store, now: datetime, *, options: ScoreOptions = ScoreOptions(),
+                **limits: int) -> DataFrame:
+    """Verdicts of staged facts with all evidence that the stored tables can give. Each source contributes only
+    the messages it matched; they meet the batch in one join on the message id."""
+    joined = store_evidence(facts, store, now, **limits)
+    return judge(evidence.attach(facts.drop("link_rows", "artifacts"), *joined), options)
+
+
+def score_against_store(messages: DataFrame, store: Store, now: datetime, pepper: bytes, *,
+                        options: ScoreOptions = ScoreOptions(), qr_payloads: DataFrame | None = None,
+                        **limits: int) -> DataFrame:
+    """``score_facts`` of a batch that is staged first; ``limits`` as in ``store_evidence``."""
+    return score_facts(stage_facts(messages, pepper, options=options, qr_payloads=qr_payloads), store, now,
+                       options=options, **limits)

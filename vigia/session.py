@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_staged: list[str] = []
 
 
 def build_session(app_name: str = "vigia", **conf: str) -> SparkSession:
@@ -47,3 +50,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and is computed once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once below the shared checkpoint folder and read it back. What reads the result scans only
+    the columns it needs, nothing above is computed again, and a lost executor costs a read. The table goes when
+    the process ends, or earlier with ``drop_staged``."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    if not _staged:
+        atexit.register(_drop_at_exit, spark)
+    _staged.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete every staged table of this process; for callers whose results are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _staged:
+        path = jvm.org.apache.hadoop.fs.Path(_staged.pop().rpartition("/")[0])
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    try:
+        drop_staged(spark)
+    except Exception:  # the session has gone; the owner of the folder cleans up
+        pass

@@ -1,6 +1,6 @@
 """Queries over the given tables, each with the SQL that must give the same rows."""
 
-from checks import corpus, score, store, streams, text, whole
+from checks import corpus, learning, score, store, streams, text, whole
 
 REGISTRY = {**text.QUERIES, **score.QUERIES, **store.QUERIES, **corpus.QUERIES, **streams.QUERIES,
-            **whole.QUERIES}
+            **whole.QUERIES, **learning.QUERIES}

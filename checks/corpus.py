@@ -189,13 +189,15 @@ def stratified_split(spark, sf):
 
 
 def ngram_counts(spark, sf):
-    """Character n-grams of the opening turns, the vectoriser's terms."""
-    talk = table(spark, sf, "benchmark").select(F.explode(ml.char_ngrams(F.col("text"))).alias("gram"))
+    """Character n-grams of all documents, turns and benchmark items, the vectoriser's terms."""
+    texts = [table(spark, sf, name).select("text") for name in ("documents", "conversations", "benchmark")]
+    talk = texts[0].unionByName(texts[1]).unionByName(texts[2]).select(F.explode(ml.char_ngrams(F.col("text"))).alias("gram"))
     return talk.groupBy(F.length("gram").alias("size")).agg(
         F.count("*").alias("n"), F.countDistinct("gram").alias("distinct_grams"))
 
 
-_NGRAMS = """with w as (select ' ' || unnest(string_split_regex(trim(lower(text)), '\\s+')) || ' ' as w from benchmark),
+_NGRAMS = """with w as (select ' ' || unnest(string_split_regex(trim(lower(text)), '\\s+')) || ' ' as w from (select text from documents union all
+    select text from conversations union all select text from benchmark)),
   g as (select unnest(list_concat(list_concat(
       list_transform(range(1, greatest(length(w) - 1, 2)), lambda i: substr(w, i, 3)),
       case when length(w) > 3 then list_transform(range(1, length(w) - 2), lambda i: substr(w, i, 4)) else [] end),

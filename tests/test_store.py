@@ -204,3 +204,53 @@ def test_analysis_is_stored_in_five_tables(spark, tmp_path):
     assert tables["messages"].count() == tables["verdicts"].count() == 2
     assert {r.artifact_type for r in tables["artifacts"].where("message_id = 'm1'").collect()} >= {"domain"}
     assert not any("2100 0418" in str(r) for df in tables.values() for r in df.collect())
+
+
+def _terms(text):
+    words, out = text.strip().lower().split(), []
+    for w in words:
+        w = f" {w} "
+        for n in (3, 4, 5):
+            out += [w[i:i + n] for i in range(max(len(w) - n + 1, 1))] if n == 3 or len(w) > n - 1 else []
+    return out
+
+
+def test_term_model_equals_a_plain_fit(spark):
+    """Vocabulary with a cut and ties, weights, and the fitted probabilities against numpy's Newton steps."""
+    import math
+    from collections import Counter
+    import numpy as np
+    from vigia.operators import terms
+    texts = [("a", "gana premio gratis ya", "phishing"), ("b", "premio gratis hoy mismo", "phishing"), ("c", "tu cita es hoy", "legitimate"),
+             ("d", "la cita de hoy", "legitimate"), ("e", "oferta y premio", "spam"), ("f", "oferta de hoy", "spam"), ("g", "", "spam"), ("h", None, "legitimate")]
+    df = spark.createDataFrame(texts, "key string, text string, label string").repartition(3)
+    counts = {k: Counter(_terms(t or "")) for k, t, _ in texts}
+    got = {(r["key"], r["term"]): r["n"] for r in terms.term_counts(df).collect()}
+    assert got == {(k, w): n for k, c in counts.items() for w, n in c.items()}
+    df_of, total = Counter(w for c in counts.values() for w in c), sum(counts.values(), Counter())
+    kept = sorted((w for w in df_of if df_of[w] >= 2), key=lambda w: (-total[w], w))[:25]
+    idf = {w: math.log(9 / (1 + df_of[w])) + 1 for w in kept}
+    words = terms.vocabulary(terms.term_counts(df), 8, 2, 25)
+    assert {r["term"]: round(r["idf"], 9) for r in words.collect()} == {w: round(v, 9) for w, v in idf.items()}
+    x = np.zeros((8, 25))
+    for row, (k, _, _) in enumerate(texts):
+        for col, w in enumerate(kept):
+            x[row, col] = (1 + math.log(counts[k][w])) * idf[w] if counts[k][w] else 0
+    x /= np.maximum(np.sqrt((x ** 2).sum(1)), 1e-300)[:, None]
+    model = terms.train(df, size=25)
+    classes = sorted({t[2] for t in texts})
+    y = np.array([classes.index(t[2]) for t in texts])
+    balance = np.array([8 / (3 * np.sum(y == k)) for k in y])
+    w, b = np.zeros((3, 25)), np.zeros(3)
+    for _ in range(60_000):  # plain gradient descent to the same optimum
+        m = x @ w.T + b
+        p = np.exp(m - m.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        d = (p - np.eye(3)[y]) * balance[:, None]
+        w -= 0.15 * (d.T @ x + w / 2.0)
+        b -= 0.15 * d.sum(0)
+    got = {r["key"]: r["probabilities"] for r in model.probabilities(df).collect()}
+    m = x @ w.T + b
+    p = np.exp(m - m.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert model.classes == classes and np.abs(np.array([got[t[0]] for t in texts]) - p).max() < 2e-3

@@ -75,9 +75,11 @@ class OrdinalModel:
         self.weights, self.thresholds = weights, thresholds
 
     @staticmethod
-    def fit(row: np.ndarray, key: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int) -> "OrdinalModel":
+    def fit(at: np.ndarray, key: np.ndarray, value: np.ndarray, grade: np.ndarray, grades: int) -> "OrdinalModel":
         """Adam on the mean negative log-likelihood of P(grade = k) = tail(k) - tail(k + 1). Thresholds are
-        a first value and positive steps, so their order cannot break."""
+        a first value and positive steps, so their order cannot break. Row i has the features ``at[i]`` to
+        ``at[i + 1]``; a round takes the rows in parts, so its temporaries stay small."""
+        parts = [(a, b, at[a], at[b]) for a, b in _row_parts(at)]
         n = max(len(grade), 1)
         tail = np.array([(np.sum(grade >= k) + 1) / (n + 2) for k in range(1, grades)])
         start = -np.log(tail / (1 - tail))
@@ -86,7 +88,10 @@ class OrdinalModel:
         for step in range(1, ROUNDS + 1):
             w, cut = theta[:FEATURES], np.cumsum(np.concatenate([theta[FEATURES:FEATURES + 1],
                                                                  np.exp(theta[FEATURES + 1:])]))
-            s = np.bincount(row, weights=w[key] * value, minlength=len(grade))
+            s = np.zeros(len(grade))
+            for a, b, i, j in parts:
+                row = np.repeat(np.arange(b - a, dtype=np.int32), np.diff(at[a:b + 1]))
+                s[a:b] = np.bincount(row, weights=w[key[i:j]] * value[i:j], minlength=b - a)
             edge = np.concatenate([[-1e9], cut, [1e9]])
             upper, lower = _sigmoid(s - edge[grade]), _sigmoid(s - edge[grade + 1])
             p = np.maximum(upper - lower, 1e-9)
@@ -95,8 +100,11 @@ class OrdinalModel:
             dcut = np.zeros(grades - 1)
             for k in range(grades - 1):
                 dcut[k] = (du[grade == k + 1].sum() - dl[grade == k].sum()) / n
+            slope = RIDGE * w / n ** 0.5
+            for a, b, i, j in parts:
+                slope += np.bincount(key[i:j], weights=np.repeat(ds[a:b], np.diff(at[a:b + 1])) * value[i:j], minlength=FEATURES)
             grad = np.concatenate([
-                np.bincount(key, weights=ds[row] * value, minlength=FEATURES) + RIDGE * w / n ** 0.5,
+                slope,
                 [dcut.sum()], [dcut[k:].sum() * np.exp(theta[FEATURES + k]) for k in range(1, grades - 1)]])
             m = 0.9 * m + 0.1 * grad
             v = 0.99 * v + 0.01 * grad * grad
@@ -105,6 +113,16 @@ class OrdinalModel:
         return OrdinalModel(theta[:FEATURES].astype(np.float32), cut)
 
 
+def _row_parts(at: np.ndarray, size: int = 1 << 18) -> list[tuple[int, int]]:
+    """Ranges of whole rows with about ``size`` features each; a longer row comes alone."""
+    out, start = [], 0
+    while start < len(at) - 1:
+        end = max(start + 1, int(np.searchsorted(at, at[start] + size, "right")) - 1)
+        out.append((start, end))
+        start = end
+    return out
+
+
 def bounded_labels(labels: DataFrame, limit: int) -> DataFrame:
     """About ``limit`` labelled rows at most, picked by the hash of their id: the same rows on every run."""
     n = labels.count()
@@ -131,9 +149,11 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, limit: int = MAX_LAB
     if not got.num_rows:
         return OrdinalModel(np.zeros(FEATURES, np.float32), np.arange(grades - 1) - 1e3)  # keeps everything
     keys, values = got.column("keys").combine_chunks(), got.column("values").combine_chunks()
-    row = np.repeat(np.arange(got.num_rows), np.diff(np.asarray(keys.offsets)))
-    return OrdinalModel.fit(row, np.asarray(keys.flatten()), np.asarray(values.flatten()),
-                            np.asarray(got.column("grade")).astype(np.int64), grades)
+    fitted = OrdinalModel.fit(np.asarray(keys.offsets).astype(np.int64), np.asarray(keys.flatten()), np.asarray(values.flatten()),
+                              np.asarray(got.column("grade")).astype(np.int64), grades)
+    del got, keys, values
+    pa.default_memory_pool().release_unused()
+    return fitted
 
 
 def graded(labels: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def _syncs(spark, sf):
 
 
 def _incoming(spark, sf):
-    pages = table(spark, sf, "pages").where("page_id % 3 <> 1")
+    pages = table(spark, sf, "pages")
     value = F.regexp_replace("url", "#.*$", "")
     return intel.as_indicators(pages.select(
         F.when(F.col("page_id") % 2 == 0, "urlhaus").otherwise("extra_feed").alias("provider"),
@@ -85,21 +85,28 @@ def _merge_sql(deactivate: bool) -> str:
       epoch_us(case when n.v is not null then {NOW_SQL} else o.last_seen end) as last_seen
     from indicators o full join (select distinct case when page_id % 2 = 0 then 'urlhaus' else 'extra_feed' end as provider,
       case when page_id % 2 = 0 then 's1' else 's2' end as sid, 'url' as indicator_type,
-      regexp_replace(url, '#.*$', '') as v from pages where page_id % 3 <> 1) n
+      regexp_replace(url, '#.*$', '') as v from pages) n
       on n.provider = o.provider and n.indicator_type = o.indicator_type and n.v = o.value_public""", "indicators")
 
 
 def snapshot_log(spark, sf):
+    """Snapshot rows of two feeds, each with the root of its values' hash tree."""
     rows = intel.snapshot_rows(_incoming(spark, sf), NOW, "v9")
-    again = intel.sorted_values_checksum(_incoming(spark, sf).where("provider = 'urlhaus'"), "value_public")
-    return rows.select("provider", "entry_count", "version").unionByName(
-        again.select(F.col("checksum").alias("provider"), "entry_count", F.lit("sorted").alias("version")))
-
-
-_SNAPLOG = """with v as (select distinct case when page_id % 2 = 0 then 'urlhaus' else 'extra_feed' end as provider,
-    regexp_replace(url, '#.*$', '') as u from pages where page_id % 3 <> 1)
-  select provider, count(*) as entry_count, 'v9' as version from v group by 1 union all
-  select sha256(string_agg(u, '' order by u)), count(*), 'sorted' from v where provider = 'urlhaus'"""
+    roots = intel.tree_checksum(_incoming(spark, sf), "value_public", ("provider",))
+    failed = intel.failed_snapshot(spark, "openphish", "HTTPError", NOW)
+    return rows.unionByName(failed).drop("checksum").join(
+        roots.select("provider", F.col("checksum").alias("root"), F.col("entry_count").alias("leaves")), "provider", "left").select(
+        "provider", "entry_count", "version", F.col("succeeded").cast("int").alias("succeeded"), "error_type", "leaves", "root")
+
+
+_LEVELS = [f"""l{k} as (select provider, left(place, {2 * k}) as place, sha256(string_agg(digest, '' order by digest)) as digest,
+    sum(n) as n from l{k + 1} group by 1, 2)""" for k in (3, 2, 1, 0)]
+_SNAPLOG = f"""with v as (select distinct case when page_id % 2 = 0 then 'urlhaus' else 'extra_feed' end as provider,
+    regexp_replace(url, '#.*$', '') as u from pages), l4 as (select provider, sha256(u) as place, sha256(u) as digest, 1 as n from v),
+  {', '.join(_LEVELS)}
+  select provider, count(*) as entry_count, 'v9' as version, 1 as succeeded, null as error_type, any_value(l0.n)::bigint as leaves,
+    any_value(l0.digest) as root from v join l0 using (provider) group by 1
+  union all select 'openphish', 0, 'error', 0, 'HTTPError', null, null"""
 
 
 def provider_delete(spark, sf):

@@ -75,11 +75,3 @@ def write_cases(cases: DataFrame, path: str) -> None:
     """One case per line; null fields are left out."""
     cases.write.mode("overwrite").json(path)
 
-
-def overwrite_table(df: DataFrame, path: str) -> None:
-    """Replace a table by a new state that may have been read from it: the new state is written
-    beside it and takes its place only when complete."""
-    spark = df.sparkSession
-    staged = f"{path}__next"
-    df.write.mode("overwrite").parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").parquet(path)

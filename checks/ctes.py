@@ -112,15 +112,15 @@ def suffix_list() -> list[str]:
 def _suffix_rules() -> str:
     rules = sorted({spelled for r in suffix_list() for spelled in (r, r.encode("idna").decode() if r.isascii() else
                     ("!" if r[0] == "!" else "*." if r[:2] == "*." else "") + r.lstrip("!").removeprefix("*.").encode("idna").decode())})
-    return f"""select regexp_replace(r, '^(!|[*][.])', '') as rule, len(string_split(r, '.')) as n,
-      case when r like '!%' then 'x' when r like '*.%' then 'w' else 'e' end as kind
+    return f"""select regexp_replace(r, '^(!|[*][.])', '') as rule, len(string_split(r, '.')) as rule_n,
+      case when r like '!%' then 'x' when r like '*.%' then 'w' else 'e' end as rule_kind
       from (select unnest(string_split({lit(' '.join(rules))}, ' ')) as r)"""
 
 
 def registrable(name: str) -> str:
     """The longest rule whose name ends the host, by a look at every rule."""
-    best = (f"(select max(case when kind = 'x' then 999 + n else n end) % 1000 from suffix_rules where "
-            f"({name} = rule and kind <> 'w') or ends_with({name}, '.' || rule))")
+    best = (f"(select max(case when rule_kind = 'x' then 999 + rule_n else rule_n end) % 1000 from suffix_rules where "
+            f"({name} = rule and rule_kind <> 'w') or ends_with({name}, '.' || rule))")
     return (f"case when regexp_matches({name}, {lit(_IPV4)}) then {name} else "
             f"array_to_string(string_split({name}, '.')[-(coalesce({best}, 900) + 1):], '.') end")
 

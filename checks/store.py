@@ -573,13 +573,13 @@ def certificate_identities(spark, sf):
                         F.col("ts").alias("not_before"), (F.col("ts") + F.expr("interval 90 days")).alias("not_after"))
     issuers = pages.select((F.col("page_id") % 9).alias("id")).distinct().select(
         "id", F.concat(F.lit("CA "), "id").alias("name"))
-    return certs.recent_identities(identities, held, issuers, ("blog", "the"), NOW, 29) \
+    return certs.recent_identities(identities, held, issuers, ("com", "net"), NOW, 30) \
         .groupBy("issuer_name").agg(F.count("*").alias("n"))
 
 
 _IDENTITIES = f"""select 'CA ' || (page_id % 9) as issuer_name, count(*) as n from pages join events on event_id = page_id
-  where page_id % 6 <> 0 and regexp_matches(lower(regexp_extract(url, '//([^/?#]*)', 1)), 'blog|the')
-    and ts > {NOW_SQL} - interval 29 days group by 1"""
+  where page_id % 6 <> 0 and regexp_matches(lower(regexp_extract(url, '//([^/?#]*)', 1)), 'com|net')
+    and ts > {NOW_SQL} - interval 30 days group by 1"""
 
 
 def _lead_log(spark, sf):
@@ -735,7 +735,7 @@ QUERIES = {
     "certificate_log": (certificate_log, sql(
         "select entity as claimed_entity, count(*) as n, round(sum(confidence), 2)::double as risk from observed "
         "where domain >= 'c' group by 1", extra=_CERT)),
-    "phish_matches": (phish_matches, _PHISH),
+    "phish_matches": (phish_matches, sql(_PHISH)),
     "certificate_identities": (certificate_identities, _IDENTITIES),
     "lead_time_metrics": (lead_time_metrics, sql(
         _LEAD[_LEAD.index("select count(*)"):], extra={

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigia import fixed, schemas as S
-from vigia.dims import Brand, brand_structs, default_brands
+from vigia.dims import Brand, brands_df, default_brands
 from vigia.functions import text as tx, urls as ur
+from vigia.operators import lookalike
 from vigia.operators.extract import iso_timestamp
+from vigia.session import stage_table
 
 CONNECTOR_VERSION = "1.0.0"
 
@@ -75,50 +77,36 @@ def risk_score(domain: Column, issuer: Column, entry_at: Column, now: datetime,
     return F.least(F.lit(1.0), points / F.lit(100.0))
 
 
-def _named_brands(brands: tuple[Brand, ...], domain: Column, shown: Column,
-                  typo: float) -> Column:
-    """Per brand, in list order: does the domain mention or resemble it, and is it its own."""
-    bare = tx.token(domain)
-    candidate = tx.token(F.substring_index(shown, ".", 1))
+def _brand_table(spark: SparkSession, brands: tuple[Brand, ...] | DataFrame | None) -> DataFrame:
+    """Brands given as a table, or as records; a table may have any size."""
+    return brands if isinstance(brands, DataFrame) else brands_df(spark, brands or monitored())
 
-    def judge(x: Column) -> Column:
-        def one(b: Column) -> Column:
-            mentions = F.exists(
-                b["tokens"], lambda t: (F.char_length(t) >= 4) & x["bare"].contains(t))
-            close = F.array_max(F.transform(
-                b["official_labels"], lambda o: ur.token_similarity(x["candidate"], o))) >= typo
-            own = F.exists(ur.suffix_candidates(x["domain"]),
-                           lambda d: F.array_contains(b["official_domains"], d))
-            return F.struct(
-                b["brand_order"].alias("brand_order"), b["entity"].alias("entity"),
-                (mentions | F.coalesce(close, F.lit(False))).alias("refers"), own.alias("own"))
-        return F.transform(brand_structs(brands), one)
 
-    return tx.let(F.struct(bare.alias("bare"), candidate.alias("candidate"),
-                           domain.alias("domain")), judge)
-
-
-def lookalikes(certificates: DataFrame, now: datetime, *, brands: tuple[Brand, ...] | None = None,
+def lookalikes(certificates: DataFrame, now: datetime, *, brands: tuple[Brand, ...] | DataFrame | None = None,
                phish: DataFrame | None = None, min_confidence: float = S.CT_MIN_CONFIDENCE,
                typo: float = S.TYPO_SIMILARITY, position: str = "position") -> DataFrame:
     """Observations from certificate rows (and matched verified-phish rows), one per domain.
 
-    ``certificates`` carries ``position``, the order in which rows count. Brands are a constant
-    array inside the plan, so matching needs no join; each domain keeps its first accepted brand
-    by (brand order, row order), a map-side combined minimum."""
-    chosen = brands or monitored()
+    ``certificates`` carries ``position``, the order in which rows count. ``brands`` may be a table of any size
+    (columns as ``brands_df``); names meet brands through the indexes of ``lookalike``. Each domain keeps its first
+    accepted brand by (brand order, row order), a map-side combined minimum."""
     rows = certificate_names(certificates).withColumns({
         "origin": F.lit("crtsh"), "target_brand": F.lit(None).cast("string")})
     if phish is not None:
         rows = rows.unionByName(phish, allowMissingColumns=True)
-    rows = rows.withColumns({
-        "entry_at": iso_timestamp(F.col("entry_timestamp")),
-        "_brands": _named_brands(chosen, F.col("domain"), F.col("shown_domain"), typo),
-    })
+    # read by the indexes and by both joins
+    rows = stage_table(rows.withColumn("entry_at", iso_timestamp(F.col("entry_timestamp"))), "names")
+    table = _brand_table(certificates.sparkSession, brands).select(
+        "brand_order", "entity", "tokens", "official_domains", "official_labels")
+    refers = stage_table(lookalike.named_brands(rows, table, typo), "refers")
+    about = table.select("brand_order", "entity", "official_domains")
     feed = F.col("origin") == "phishtank"
-    pairs = rows.withColumn("b", F.explode(F.filter("_brands", lambda b: ~b["own"]))).where(
-        F.when(feed, F.col("b.entity") == F.col("target_brand"))
-        .otherwise(F.col("b.refers") & _automated(F.col("issuer_name"))))
+    seen = rows.where(~feed & _automated(F.col("issuer_name"))).join(refers, ["domain", "shown_domain"]) \
+        .join(about, "brand_order").withColumn("refers", F.lit(True))
+    told = rows.where(feed).join(about, F.col("target_brand") == F.col("entity")).join(
+        refers.withColumn("refers", F.lit(True)), ["domain", "shown_domain", "brand_order"], "left") \
+        .withColumn("refers", F.coalesce("refers", F.lit(False)))
+    pairs = seen.unionByName(told).where(~lookalike.own_domain()).withColumn("b", F.struct("brand_order", "entity", "refers"))
     scored = pairs.withColumn("_risk", risk_score(
         F.col("domain"), F.col("issuer_name"), F.col("entry_at"), now, F.col("b.refers")))
     scored = scored.withColumn("confidence", F.when(
@@ -142,32 +130,33 @@ def lookalikes(certificates: DataFrame, now: datetime, *, brands: tuple[Brand, .
         F.lit(False).alias("retryable"))
 
 
-def match_phish(feed: DataFrame, brands: tuple[Brand, ...] | None = None,
+def match_phish(feed: DataFrame, brands: tuple[Brand, ...] | DataFrame | None = None,
                 typo: float = S.TYPO_SIMILARITY) -> DataFrame:
     """Verified-phish rows ``(phish_id, url, host, target, submission_time, detail_url)`` that name
     a monitored brand in their host or target: certificate-shaped rows, one per row and brand."""
-    chosen = brands or monitored()
-    host_token, target = tx.token(F.col("host")), tx.token(F.coalesce("target", F.lit("")))
+    table = _brand_table(feed.sparkSession, brands).select(
+        "brand_order", "entity", "tokens", "official_domains", "official_labels")
     named = feed.withColumns({
-        "_ids": ur.idna_hosts(F.array("host")), "_host": host_token, "_target": target})
+        "_ids": ur.idna_hosts(F.array("host")), "_host": tx.token(F.col("host")),
+        "_target": tx.token(F.coalesce("target", F.lit("")))})
     named = named.withColumns({
         "domain": ur.registrable(F.col("_ids")[0]["ascii"]),
-        "shown_domain": ur.registrable(F.col("_ids")[0]["shown"])}).where("domain is not null")
-    named = named.withColumn("_refers", _named_brands(
-        chosen, F.col("domain"), F.col("shown_domain"), typo))
-
-    def match(b: Column, i: Column) -> Column:
-        usable = F.filter(b["tokens"], lambda t: F.char_length(t) >= 3)
-        long = lambda t: F.char_length(t) >= 4
-        by_target = F.exists(usable, lambda t: (t == F.col("_target"))
-                             | (long(t) & F.col("_target").contains(t)))
-        by_host = F.exists(usable, lambda t: long(t) & F.col("_host").contains(t))
-        refers = F.get("_refers", i)
-        ok = (by_target | by_host) & ~refers["own"] & (refers["refers"] | by_target)
-        return F.struct(b["entity"].alias("entity"), ok.alias("ok"))
-
-    matched = named.withColumn("m", F.explode(F.filter(
-        F.transform(brand_structs(chosen), match), lambda m: m["ok"])))
+        "shown_domain": ur.registrable(F.col("_ids")[0]["shown"])}).drop("_ids").where("domain is not null")
+    named = stage_table(named, "phish")
+    tokens = table.select("brand_order", F.explode("tokens").alias("token")).distinct()
+    forms = named.select("domain", "shown_domain", "_host", "_target").distinct()
+    texts = lambda c: forms.select(F.col(c).alias("text"))
+    by_target = lookalike.containing(texts("_target"), tokens).unionByName(
+        tokens.where(F.char_length("token") >= 3).select(F.col("token").alias("text"), "token").distinct()) \
+        .join(tokens, "token").select(F.col("text").alias("_target"), "brand_order").distinct()
+    by_host = lookalike.containing(texts("_host"), tokens).join(tokens, "token") \
+        .select(F.col("text").alias("_host"), "brand_order").distinct()
+    refers = lookalike.named_brands(named, table, typo)
+    where = ["domain", "shown_domain", "_host", "_target", "brand_order"]
+    meant = forms.join(by_target, "_target").select(*where).unionByName(
+        forms.join(by_host, "_host").join(refers, ["domain", "shown_domain", "brand_order"]).select(*where)).distinct()
+    matched = named.join(meant, where[:-1]).join(table.select("brand_order", "entity", "official_domains"), "brand_order") \
+        .where(~lookalike.own_domain()).withColumn("m", F.struct("entity"))
     return matched.select(
         F.concat_ws(":", F.lit("phishtank"), "phish_id", "domain").alias("id"),
         F.lit("PhishTank verified").alias("issuer_name"),

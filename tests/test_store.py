@@ -254,3 +254,35 @@ def test_term_model_equals_a_plain_fit(spark):
     p = np.exp(m - m.max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
     assert model.classes == classes and np.abs(np.array([got[t[0]] for t in texts]) - p).max() < 2e-3
+
+
+def test_shared_artifacts_with_hot_values_against_brute_force(spark):
+    """Two values that most messages and campaigns carry, together and apart; a low bound for widespread values."""
+    import random
+    from vigia.operators import campaigns
+    rnd = random.Random(4)
+    kinds = ["domain", "phone", "iban", "url_path_template"]
+
+    def some(n, prefix):
+        out = set()
+        for i in range(n):
+            for k in kinds:
+                if k in ("domain", "phone") and rnd.random() < 0.7:
+                    out.add((f"{prefix}{i}", k, "hot"))
+                for _ in range(rnd.randrange(0, 3)):
+                    out.add((f"{prefix}{i}", k, f"{k}{rnd.randrange(25)}"))
+        return sorted(out)
+    wanted, held = some(60, "m"), some(50, "c")
+    wanted += [(f"copy{i}", k, v) for i in range(20) for m, k, v in wanted if m == "m1"] + [("n", "iban", None), ("n", "phone", None)]
+    w = spark.createDataFrame(wanted, "message_id string, artifact_type string, value_hash string").repartition(3)
+    h = spark.createDataFrame(held + held[:9], "campaign_id string, artifact_type string, value_hash string")
+    for bound in (0, 5, 1_000):
+        for least in (1, 2, 3):
+            want = {}
+            for m, k, v in wanted:
+                for c, k2, v2 in held:
+                    if v is not None and (k, v) == (k2, v2):
+                        want.setdefault((m, c), set()).add(k)
+            want = {p: sorted(t) for p, t in want.items() if len(t) >= least}
+            got = campaigns.shared_campaigns(w, h, least, widespread=bound)
+            assert {(r[0], r[1]): r[2] for r in got.collect()} == want and got.count() == len(want)

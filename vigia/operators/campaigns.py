@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vigia import schemas as S
 from vigia.functions import hashing, pii, text as tx, urls as ur
 from vigia.operators.evidence import signal
+from vigia.session import stage_table
 
 MATCHABLE = ("domain", "redirect_domain", "url_path_template", "phone", "iban", "text_fingerprint")
 
@@ -102,51 +103,76 @@ def attach_campaign(artifacts: DataFrame, assignment: DataFrame, at: datetime) -
 
 # --- shared artifacts --------------------------------------------------------------------------
 
+#: A value that more campaigns hold is widespread: alone it leads from no message to its campaigns.
+WIDESPREAD = 64
+_ART = ["artifact_type", "value_hash"]
+
+
+def _signatures(wanted: DataFrame, held: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, sig) and (sig, artifact_type, value_hash, _n): messages with the same held artifacts share a signature,
+    so each set is matched once, whatever number of copies carry it. ``_n``: campaigns that hold the value."""
+    spread = held.groupBy(*_ART).agg(F.count("*").alias("_n"))
+    known = wanted.select(key, *_ART).distinct().join(spread, _ART)
+    sets = known.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*_ART, "_n"))).alias("_set")) \
+        .withColumn("sig", F.sha2(F.to_json("_set"), 256))
+    sets = stage_table(sets, "signatures")
+    values = sets.groupBy("sig").agg(F.first("_set").alias("_set")).select("sig", F.explode("_set").alias("a")).select("sig", "a.*")
+    return sets.select(key, "sig"), values
+
+
+def _shared_by_signature(values: DataFrame, held: DataFrame, min_types: int, widespread: int) -> DataFrame:
+    """(sig, campaign_id, artifact_types) of pairs that share at least ``min_types`` types.
+
+    A pair shares a value that is not widespread, or all it shares is widespread. The first kind is found value by
+    value, at most ``widespread`` campaigns each. The second kind shares, if two types are asked for, two widespread
+    values: the few distinct pairs of such values that occur in messages are looked up among the campaigns from the
+    rarer value's side, and what is found shares both, so it is part of the result and no mere candidate."""
+    cold = values.where(F.col("_n") <= widespread).join(held, _ART).select("sig", "campaign_id")
+    hot = values.where(F.col("_n") > widespread)
+    if min_types < 2:
+        pairs = cold.unionByName(hot.join(held, _ART).select("sig", "campaign_id")).distinct()
+    else:
+        sets = hot.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("_n", *_ART))).alias("h")).where(F.size("h") > 1)
+        both = sets.select("sig", F.explode(F.flatten(F.transform("h", lambda x, i: F.transform(
+            F.filter(F.slice("h", i + 2, F.size("h")), lambda y: y["artifact_type"] != x["artifact_type"]),
+            lambda y: F.struct(x["artifact_type"].alias("t1"), x["value_hash"].alias("v1"),
+                               y["artifact_type"].alias("t2"), y["value_hash"].alias("v2")))))).alias("p")).select("sig", "p.*")
+        asked = both.select("t1", "v1", "t2", "v2").distinct()
+        hold = lambda n: held.select("campaign_id", F.col("artifact_type").alias(f"t{n}"), F.col("value_hash").alias(f"v{n}"))
+        meet = asked.join(hold(1), ["t1", "v1"]).join(hold(2), ["campaign_id", "t2", "v2"])
+        pairs = cold.unionByName(both.join(meet, ["t1", "v1", "t2", "v2"]).select("sig", "campaign_id")).distinct()
+    shared = pairs.join(values.drop("_n"), "sig").join(held, ["campaign_id", *_ART]).groupBy("sig", "campaign_id").agg(
+        F.sort_array(F.collect_set("artifact_type")).alias("artifact_types"))
+    return shared.where(F.size("artifact_types") >= min_types)
+
+
 def shared_campaigns(wanted: DataFrame, held: DataFrame, min_types: int = S.MIN_ARTIFACT_TYPES,
-                     key: str = "message_id") -> DataFrame:
+                     key: str = "message_id", widespread: int = WIDESPREAD) -> DataFrame:
     """(message_id, campaign_id, artifact_types) for pairs that share at least ``min_types``
     distinct artifact types. ``wanted(message_id, artifact_type, value_hash)``,
-    ``held(campaign_id, artifact_type, value_hash)``.
-
-    A pair that shares ``min_types`` types shares at least one outside any ``min_types - 1`` of
-    them. So each message looks for partners through all its types but its ``min_types - 1`` most
-    widespread ones, and the pairs found are then checked on every type. The result is complete,
-    while an artifact that everybody carries (a link shortener's domain) never multiplies rows.
-    """
-    min_types = max(1, min_types)
-    art = ["artifact_type", "value_hash"]
-    held = held.select("campaign_id", *art).distinct()
-    spread = held.groupBy(*art).agg(F.count("*").alias("_n"))
-    known = wanted.select(key, *art).distinct().join(spread, art)
-    types = known.groupBy(key, "artifact_type").agg(F.sum("_n").alias("_load"))
-    ranked = types.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("_load", "artifact_type")), asc=False).alias("_t")
-    ).where(F.size("_t") >= min_types)
-    # at most six matchable types per message
-    seeds = ranked.select(key, F.explode(F.slice(
-        "_t", min_types, F.size("_t"))).alias("_s")).select(key, "_s.artifact_type")
-    pairs = known.join(seeds, [key, "artifact_type"]).join(held, art) \
-        .select(key, "campaign_id").distinct()
-    shared = pairs.join(known.drop("_n"), key).join(held, ["campaign_id", *art]) \
-        .groupBy(key, "campaign_id").agg(
-            F.sort_array(F.collect_set("artifact_type")).alias("artifact_types"))
-    return shared.where(F.size("artifact_types") >= min_types)
+    ``held(campaign_id, artifact_type, value_hash)``. Null values match nothing."""
+    held = held.select("campaign_id", *_ART).distinct()
+    keys, values = _signatures(wanted, held, key)
+    found = _shared_by_signature(values, held, max(1, min_types), widespread)
+    return keys.join(found, "sig").select(key, "campaign_id", "artifact_types")
 
 
 def match_artifacts(artifacts: DataFrame, stored: DataFrame, campaigns: DataFrame, now: datetime,
-                    *, window_days: int = S.CAMPAIGN_WINDOW_DAYS,
-                    min_types: int = S.MIN_ARTIFACT_TYPES) -> DataFrame:
+                    *, window_days: int = S.CAMPAIGN_WINDOW_DAYS, min_types: int = S.MIN_ARTIFACT_TYPES,
+                    widespread: int = WIDESPREAD) -> DataFrame:
     """Best campaign per message by number of shared artifact types (smallest id on ties); kept
     only when that campaign is a scam."""
     cutoff = now - timedelta(days=max(1, window_days))
     held = stored.where(F.col("campaign_id").isNotNull() & (F.col("created_at") >= F.lit(cutoff)))
-    pairs = shared_campaigns(
-        artifacts.where(F.col("artifact_type").isin(*MATCHABLE)), held, max(2, min_types))
-    best = pairs.groupBy("message_id").agg(F.max_by(
+    held = held.select("campaign_id", *_ART).distinct()
+    keys, values = _signatures(artifacts.where(F.col("artifact_type").isin(*MATCHABLE)), held, "message_id")
+    pairs = _shared_by_signature(values, held, max(2, min_types), widespread)
+    # the best campaign is the same for all messages of a signature: the pairs are never expanded to messages
+    best = pairs.groupBy("sig").agg(F.max_by(
         F.struct("campaign_id", "artifact_types"),
-        F.struct(F.size("artifact_types"), _descending("campaign_id"))).alias("b")
-    ).select("message_id", "b.campaign_id", F.size("b.artifact_types").alias("match_count"),
-             "b.artifact_types")
+        F.struct(F.size("artifact_types"), _descending("campaign_id"))).alias("b"))
+    best = keys.join(best, "sig").select("message_id", "b.campaign_id", F.size("b.artifact_types").alias("match_count"),
+                                         "b.artifact_types")
     return best.join(campaigns.where(F.col("verdict") == S.LEVEL_SCAM)
                      .select("campaign_id", "confirmed"), "campaign_id") \
         .select("message_id", "campaign_id", "match_count", "artifact_types", "confirmed")

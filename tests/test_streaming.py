@@ -88,3 +88,30 @@ def test_open_windows_come_from_the_state(spark, tmp_path):
     counts = jobs.drain_windows(jobs.window_counts(stream, "ts", "1 minute", keys=("user_id",)))
     got = sorted((r["minute"].timestamp() // 60, r["requests"]) for r in jobs.minute_view(counts).collect())
     assert got == [(0, 1), (1, 2), (2, 1), (40, 1)]
+
+
+def test_observations_are_read_whole_in_ranges_and_once_in_a_stream(spark, tmp_path, monkeypatch):
+    import json
+    from vigia.sources import observations as obs
+    lines = [json.dumps({"provider": "p", "indicator_type": "domain", "value": f"é{i}.example" * (1 + i % 4)}, ensure_ascii=False) for i in range(300)]
+    lines[7], lines[8], lines[9] = "", "[1]", '{"provider": "p"'
+    (tmp_path / "in").mkdir()
+    path = tmp_path / "in" / "a.jsonl"
+    path.write_text("\n".join(lines), encoding="utf-8")
+    whole = [r for b in obs.read_range(str(tmp_path), obs.FileRange(str(path), 0, path.stat().st_size)) for r in b.to_pylist()]
+    assert len(whole) == 299 and sum(r["status"] == "malformed" for r in whole) == 2
+    for size in (50, 333, 5_000):
+        monkeypatch.setattr(obs, "RANGE_BYTES", size)
+        parts = obs._ranges(obs.landed_files(str(tmp_path / "in")))
+        cut = [r for p in parts for b in obs.read_range(str(tmp_path), p) for r in b.to_pylist()]
+        assert cut == whole
+    spark.dataSource.register(obs.ObservationSource)
+    read = lambda: spark.readStream.format("observations").load(str(tmp_path / "in"))
+    for extra, expected in ((None, 299), ("b.jsonl", 301), (None, 301)):
+        if extra:
+            (tmp_path / "in" / extra).write_text("\n".join(lines[:2]))
+        read().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")) \
+            .trigger(availableNow=True).start().awaitTermination()
+        assert spark.read.parquet(str(tmp_path / "out")).count() == expected
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("observations").load(str(tmp_path / "none")).count() == 0

@@ -117,3 +117,10 @@ def test_international_names_reach_their_ascii_form(spark):
         "xn--bcher-kva.example", "strasse.de", "xn--wgv71a119e.jp", None, None, "xn--80abxggjd.xn--p1ai", None, None]
     urls = ["https://u:p@bücher.de:8443/a?b#c", "http://straße.de:80", "https://x.de:99999/", "ftp://x.de/"]
     assert values(spark, urls, ur.canonical_url) == ["https://xn--bcher-kva.de:8443/a?b", "http://strasse.de/", None, None]
+
+
+def test_spaced_letters_of_any_width_and_number(spark):
+    given = ["c  o\t" + " " * 200 + "d i g o SMS", "x " + "a " * 30_000 + "fin", "s i", "una d e f", "d e f9", "c o\u2003d i\u00a0go"]
+    assert values(spark, given, tx.detection_view) == ["codigo sms", "x" + "a" * 30_000 + " fin", "s i", "una def", "d e f9", "codi go"]
+    labels = values(spark, given, lambda t: F.size(tx.obfuscations(t)))
+    assert labels == [1, 1, 0, 1, 0, 1], labels

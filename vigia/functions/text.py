@@ -176,20 +176,19 @@ def regexp_map(text: Column, pattern: str, replace) -> Column:
     return let(text, rebuild)
 
 
-# Blanks between single letters, where at least three such letters follow one another.
-_LETTER = "[a-zA-Z]"
-_SPACED_BLANKS = (
-    rf"(?U)(?<=(?<!\w){_LETTER})\s+(?={_LETTER}\s+{_LETTER}(?!\w))"
-    rf"|(?U)(?<=(?<!\w){_LETTER}\s{{1,64}}{_LETTER})\s+(?={_LETTER}(?!\w))"
-)
-_SPACED_LETTERS = r"(?iU)(?<!\w)(?:[a-záéíóúüñ]\s+){2,}[a-záéíóúüñ](?!\w)"
+# Single letters with one blank between them. Of fixed length, so Java repeats the group in a loop: a run may
+# have any number of letters, and blanks are made one before the test.
+_SPACED_RUN = r"(?U)(?<!\w)(?:[a-zA-Z] ){2,}[a-zA-Z](?!\w)"
+_SPACED_LETTERS = r"(?iU)(?<!\w)(?:[a-záéíóúüñ] ){2}[a-záéíóúüñ](?!\w)"
 # ASCII-only test that every such run passes
 _MAYBE_SPACED = r"(?:^|\W)(?:[A-Za-z]|[^\x00-\x7F])\s+(?:[A-Za-z]|[^\x00-\x7F])\s+(?:[A-Za-z]|[^\x00-\x7F])(?:\W|$)"
 _TOKEN_EDGE = r"(?U)(?<=[^\w-])|(?=[^\w-])"
 _LEET_TOKEN = r"[013457][0-9]*[A-Za-z_-]|[A-Za-z_-][0-9]*[013457]"
 
 
-_BLANKS = r"[\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# Runs of blanks but for one plain space, which stays as it is.
+_ODD_BLANK = r"\x{09}-\x{0D}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_BLANKS = f"[{_ODD_BLANK}][ {_ODD_BLANK}]*| [ {_ODD_BLANK}]+"
 
 
 def _leet_tokens(text: Column) -> Column:
@@ -207,11 +206,12 @@ def _leet_tokens(text: Column) -> Column:
 def detection_view(text: Column) -> Column:
     """Text as a reader would understand it, whatever tricks hide the words."""
     view = fold(text, "detection")
-    view = let(view, lambda v: F.when(
-        v.rlike(_MAYBE_SPACED), F.regexp_replace(v, _SPACED_BLANKS, "")).otherwise(v))
+    view = F.regexp_replace(view, _BLANKS, " ")
+    view = let(view, lambda v: F.when(v.rlike(_MAYBE_SPACED), regexp_map(
+        v, _SPACED_RUN, lambda run: F.replace(run, F.lit(" "), F.lit("")))).otherwise(v))
     view = _leet_tokens(view)
     view = F.regexp_replace(view, fixed.SPLIT_APP_NAME, "$1$2")
-    return casefold(F.trim(F.regexp_replace(view, _BLANKS, " ")))
+    return casefold(F.trim(view))
 
 
 def obfuscations(text: Column) -> Column:
@@ -234,10 +234,12 @@ def obfuscations(text: Column) -> Column:
     mixed = r"[013457][0-9]*[A-Za-záéíóúüñÁÉÍÓÚÜÑ_-]|[A-Za-záéíóúüñÁÉÍÓÚÜÑ_-][0-9]*[013457]"
     leet = F.when(text.rlike(mixed), F.exists(tokens, hides_term)).otherwise(F.lit(False))
     foreign = F.octet_length(text) != F.char_length(text)
+    one_blank = F.regexp_replace(text, _BLANKS, " ")
+    maybe = F.when(foreign, one_blank.rlike(_MAYBE_SPACED)).otherwise(text.rlike(_MAYBE_SPACED))
     return F.array_compact(F.array(
         F.when(foreign & text.rlike(invisible), labels[0]),
         F.when(foreign & text.rlike(f"[{fixed.CONFUSABLE_FROM}]"), labels[1]),
-        F.when(text.rlike(_MAYBE_SPACED) & text.rlike(_SPACED_LETTERS), labels[2]),
+        F.when(maybe & one_blank.rlike(_SPACED_LETTERS), labels[2]),
         F.when(text.rlike(fixed.SPLIT_APP_NAME), labels[3]),
         F.when(leet, labels[4]),
     ))

@@ -12,7 +12,7 @@ from vigia.plans.score import ScoreOptions, judge, links_of, read_messages, scor
 
 from checks import ctes, text as text_checks
 from checks.ctes import lit, matches, sql
-from checks.inputs import NOW, NOW_EPOCH, NOW_SQL, events, foreign_urls, messages, table
+from checks.inputs import NOW, NOW_SQL, events, foreign_urls, messages, table
 
 WITH_ALIASES = ScoreOptions(aliases=default_aliases())
 

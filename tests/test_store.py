@@ -286,3 +286,19 @@ def test_shared_artifacts_with_hot_values_against_brute_force(spark):
             want = {p: sorted(t) for p, t in want.items() if len(t) >= least}
             got = campaigns.shared_campaigns(w, h, least, widespread=bound)
             assert {(r[0], r[1]): r[2] for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_tree_checksum_is_the_same_tree_whatever_the_partitions(spark):
+    import hashlib
+    values = [f"v{k % 900}" for k in range(2_000)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    level = {sha(v): sha(v) for v in values}
+    for k in (3, 2, 1, 0):
+        groups = {}
+        for place, digest in level.items():
+            groups.setdefault(place[:2 * k], []).append(digest)
+        level = {place: sha("".join(sorted(d))) for place, d in groups.items()}
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "value string")
+    for parts in (1, 7):
+        assert [tuple(r) for r in intel.tree_checksum(df.repartition(parts)).collect()] == [(level[""], 900)]
+    assert intel.tree_checksum(df.limit(0)).count() == 0

@@ -151,22 +151,6 @@ def strings(values) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
-def structs(rows: list[dict], fields: str) -> Column:
-    """Constant array of structs."""
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")
-
-
-def brand_structs(brands: tuple[Brand, ...]) -> Column:
-    """Constant array of brands, in order, for matching inside a row."""
-    return structs(
-        [{"brand_order": i, "entity": b.name, "category": b.category, "tokens": b.tokens,
-          "official_domains": b.domains,
-          "official_labels": [token_literal(d.split(".")[0]) for d in b.domains]}
-         for i, b in enumerate(brands)],
-        "brand_order:int,entity:string,category:string,tokens:array<string>,"
-        "official_domains:array<string>,official_labels:array<string>")
-
-
 def alias_forms(brands: tuple[Brand, ...]) -> list[tuple[str, int]]:
     """(folded alias, brand position), longest alias first, then in table order."""
     forms: dict[str, int] = {}

@@ -1,3 +1,7 @@
+import hashlib
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from vigia.functions import hashing, pii, text as tx, urls as ur
@@ -124,3 +128,20 @@ def test_spaced_letters_of_any_width_and_number(spark):
     assert values(spark, given, tx.detection_view) == ["codigo sms", "x" + "a" * 30_000 + " fin", "s i", "una def", "d e f9", "codi go"]
     labels = values(spark, given, lambda t: F.size(tx.obfuscations(t)))
     assert labels == [1, 1, 0, 1, 0, 1], labels
+
+
+def test_simhash_counts_bits_without_lambdas(spark):
+    """Majority of every bit by hand, with texts longer than one part of the bits and rows without words."""
+    rng = random.Random(3)
+    texts = [None, "", "12 !", "aa bb", "aa bb bb", " ".join("ab" * rng.randint(1, 9) + rng.choice("xyz") for _ in range(70_000))]
+    texts += [" ".join("".join(rng.choices("abcde", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 60))) for _ in range(30)]
+
+    def by_hand(text):
+        hashes = [int(hashlib.md5(w.encode()).hexdigest()[:16], 16) for w in re.findall("[a-z]{2,}|URL|N", re.sub(r"\d+", " N ", text or ""))]
+        print_ = sum(1 << b for b in range(64) if hashes and 2 * sum(h >> b & 1 for h in hashes) >= len(hashes))
+        return print_ - (1 << 64) if print_ >> 63 else print_
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.simhash(F.col("t")).alias("s"))
+    assert {r["i"]: r["s"] for r in rows.collect()} == {i: by_hand(t) for i, t in enumerate(texts)}
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan  # an interpreted lambda: once a word and pass

@@ -302,3 +302,16 @@ def test_tree_checksum_is_the_same_tree_whatever_the_partitions(spark):
     for parts in (1, 7):
         assert [tuple(r) for r in intel.tree_checksum(df.repartition(parts)).collect()] == [(level[""], 900)]
     assert intel.tree_checksum(df.limit(0)).count() == 0
+
+
+def test_messages_that_lead_to_the_same_campaigns_share_a_signature(spark):
+    """A hundred sets of different values, all held by the same campaigns, are matched as one; a rarer value sets apart."""
+    both = [(k, f"{k}{i}") for k in ("phone", "domain") for i in range(100)]
+    held = [(f"c{c}", k, v) for c in range(5) for k, v in both] + [("c0", "iban", "own")]
+    wanted = [(f"m{v.lstrip('phonedmai')}", k, v) for k, v in both] + [("m7", "iban", "own")]
+    w = spark.createDataFrame(wanted, "message_id string, artifact_type string, value_hash string")
+    h = spark.createDataFrame(held, "campaign_id string, artifact_type string, value_hash string")
+    keys, values = campaigns._signatures(w, h, "message_id")
+    assert keys.count() == 100 and keys.select("sig").distinct().count() == 2 and values.count() == 5
+    got = {(r[0], r[1]): r[2] for r in campaigns.shared_campaigns(w, h, 2).collect()}
+    assert got == brute_shared(wanted, held, 2)

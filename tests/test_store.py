@@ -315,3 +315,35 @@ def test_messages_that_lead_to_the_same_campaigns_share_a_signature(spark):
     assert keys.count() == 100 and keys.select("sig").distinct().count() == 2 and values.count() == 5
     got = {(r[0], r[1]): r[2] for r in campaigns.shared_campaigns(w, h, 2).collect()}
     assert got == brute_shared(wanted, held, 2)
+
+
+def test_terms_of_keys_in_many_pieces_against_plain_counts(spark, monkeypatch):
+    """Null and repeated keys whose words cross the pieces, letters outside the basic plane, sums given early: the
+    counts, the sums and the weights are those of plain counting, and no (key, term) row is shuffled."""
+    import math
+    import random
+    from collections import Counter, defaultdict
+    from vigia.operators import terms
+    monkeypatch.setattr(terms, "_PIECE", 7)
+    monkeypatch.setattr(terms, "_SUMS", 20)
+    rnd = random.Random(6)
+    words = ["uno", "dos", "ÑU", "a", "𝒳y", "字典字典", "x" * 9, "ananan"]
+    rows = [(rnd.choice(["k1", "k2", "k3", None, f"s{i}"]), "\n" + " ".join(rnd.choices(words, k=rnd.randrange(0, 30)))) for i in range(60)]
+    rows += [("k1", None), ("empty", " \t "), ("empty", None)]
+    df = spark.createDataFrame(rows, "key string, text string").repartition(3)
+    counts = defaultdict(Counter)
+    for k, t in rows:
+        counts[k].update(_terms(t or ""))
+    got = terms.term_counts(df).collect()
+    assert len(got) == len({(r["key"], r["term"]) for r in got})
+    assert {(r["key"], r["term"]): r["n"] for r in got} == {(k, w): n for k, c in counts.items() for w, n in c.items()}
+    df_of, total = Counter(w for c in counts.values() for w in c), sum(counts.values(), Counter())
+    assert {r["term"]: (r["df"], r["total"]) for r in terms.term_totals(df).collect()} == {w: (df_of[w], total[w]) for w in df_of}
+    vocabulary = terms.vocabulary(terms.term_totals(df), len(rows), 2, 40)
+    idf = {r["term"]: r["idf"] for r in vocabulary.collect()}
+    by_join = {(r["key"], r["term"]): round(r["weight"], 9) for r in terms.term_weights(terms.term_counts(df), vocabulary).collect()}
+    found = terms.text_weights(df, vocabulary)
+    assert "hashpartitioning(term" not in found._jdf.queryExecution().toString()
+    weights = {(r["key"], r["term"]): round(r["weight"], 9) for r in found.collect()}
+    raw = {k: {w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf} for k, c in counts.items() if k is not None}
+    assert weights == by_join == {(k, w): round(x / math.sqrt(sum(y * y for y in c.values())), 9) for k, c in raw.items() for w, x in c.items()}

@@ -145,3 +145,26 @@ def test_simhash_counts_bits_without_lambdas(spark):
     assert {r["i"]: r["s"] for r in rows.collect()} == {i: by_hand(t) for i, t in enumerate(texts)}
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan  # an interpreted lambda: once a word and pass
+
+
+def test_text_tests_pick_the_same_words_as_their_plain_forms(spark):
+    """The shorter tests in front of spaced letters, leet words and blanks lose no text and add none."""
+    given = ["a\x1cb\x1cc", "x a b c y", "éa b c", "a b c.", "a b cd", "a  b\tc", "дa-c0digo", "c0digo-д b4nco",
+             "-c0digo-", "4", "a_4", "é4", "4é", "a23b", "b4nc0\U0001f600 c0digo", "lİquid cſ0", "­а", "",
+             "1\n2\x85\n3", "-" * 5000 + "4a", "y él a à ver", "a b cñ", "n0 h4y_clave 1bum c1ave"]
+    plain = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    leet = r"[013457][0-9]*[A-Za-z_-]|[A-Za-z_-][0-9]*[013457]"
+    rows = plain.select(
+        "t", tx._leet_tokens(F.col("t")).alias("ours"), F.col("t").rlike(leet).alias("leet"),
+        F.col("t").rlike(tx._LEET_TOKEN).alias("quick"), tx.obfuscations(F.col("t")).alias("labels"),
+        F.regexp_replace(tx.fold(F.col("t"), "token"), tx._BLANKS, " ").alias("blanks"),
+        tx.one_blank(tx.fold(F.col("t"), "token")).alias("ascii_blanks"),
+        F.array_join(F.transform(F.split("t", tx._TOKEN_EDGE), lambda w: F.when(
+            w.rlike("^[A-Za-z0-9_-]*[A-Za-z][A-Za-z0-9_-]*$"), F.translate(w, "013457", "oieast")).otherwise(w)), "")
+        .alias("split")).collect()
+    for row in rows:
+        assert row.quick == row.leet, row
+        assert row.ours == (row.split if row.leet else row.t), row
+        if not any(c in row.t for c in "\x85   "):
+            assert row.ascii_blanks == row.blanks, row
+    assert [row.labels for row in rows if "c0digo" in row.t] == [[tx.fixed.OBFUSCATION_LABELS[4]]] * 4

@@ -347,3 +347,22 @@ def test_terms_of_keys_in_many_pieces_against_plain_counts(spark, monkeypatch):
     weights = {(r["key"], r["term"]): round(r["weight"], 9) for r in found.collect()}
     raw = {k: {w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf} for k, c in counts.items() if k is not None}
     assert weights == by_join == {(k, w): round(x / math.sqrt(sum(y * y for y in c.values())), 9) for k, c in raw.items() for w, x in c.items()}
+
+
+def test_stored_analysis_scores_its_batch_once(spark, tmp_path):
+    from checks.corpus import stored_analysis
+
+    text = "Llame al 912 345 678 y mire https://bit.ly/a"
+    spark.createDataFrame([(i, text, "es", "web", len(text)) for i in range(6)],
+                          "doc_id long, text string, lang string, source string, n_chars long") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f"https://p{i}.example.org/a", "") for i in range(3)],
+                          "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, datetime(2024, 1, 1), i, "click") for i in range(6)],
+                          "event_id long, ts timestamp, user_id long, event_type string") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    rows = stored_analysis(spark, str(tmp_path))
+    assert all("/staged-" in name for name in rows.inputFiles())  # nothing above the staged batch runs five times
+    found = {r.table_name: (r.rows, r.messages) for r in rows.collect()}
+    assert set(found) == {"messages", "extractions", "signals", "verdicts", "artifacts"}
+    assert all(found[name] == (6, 6) for name in ("messages", "extractions", "verdicts"))

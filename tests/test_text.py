@@ -168,3 +168,45 @@ def test_text_tests_pick_the_same_words_as_their_plain_forms(spark):
         if not any(c in row.t for c in "\x85   "):
             assert row.ascii_blanks == row.blanks, row
     assert [row.labels for row in rows if "c0digo" in row.t] == [[tx.fixed.OBFUSCATION_LABELS[4]]] * 4
+
+
+def test_word_patterns_behind_a_word_start_find_the_same(spark):
+    from vigia import fixed
+    from vigia.dims import alias_forms, default_brands
+    from vigia.operators.extract import _java_quote, claimed_brand
+
+    chance = random.Random(11)
+    patterns = [p for _, p in fixed.ACTIONS + fixed.COMMERCIAL] + [
+        fixed.MONEY, fixed.FAMILY, fixed.SECURITY_CODE, fixed.PERSONAL, fixed.TRANSACTIONAL]
+    forms = alias_forms(default_brands())
+    words = [w for p in patterns for w in re.split(r"[|()\[\]?:\\{}*+.]", p) if w.strip()]
+    words += [a for a, _ in forms] + ["é", "٢", "_", "😀", "50 €", "mi€", "ſ", "DE89370400440532013000", "no15 9386 0111 7947"]
+    texts = ["".join(chance.choice(words) + chance.choice([" ", " ", "", "-", "é", ".", "_", "😀", "  "])
+                     for _ in range(chance.randint(1, 7))) for _ in range(400)] + ["", None]
+    texts += [t.upper() for t in texts[:100]]
+    plain = r"(?U)(?<!\w)(?=(" + "|".join(_java_quote(a) for a, _ in forms) + r")(?!\w))"
+    owner = dict(forms)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        "t", claimed_brand(F.col("t"), default_brands()).alias("brand"),
+        F.regexp_extract_all("t", F.lit(plain), F.lit(1)).alias("aliases"),
+        pii.sensitive_types(F.col("t")).alias("kinds"),
+        F.exists(pii._all(F.col("t"), pii._IBAN), pii.valid_iban).alias("iban"),
+        F.array(*[tx.says(F.col("t"), p, f) for p in patterns for f in ("(?U)", "(?iU)")]).alias("ours"),
+        F.array(*[F.col("t").rlike(f + p) for p in patterns for f in ("(?U)", "(?iU)")]).alias("theirs")).collect()
+    assert any(r.iban for r in rows) and sum(any(r.ours) for r in rows) > 100
+    for r in rows:
+        assert r.ours == r.theirs, r.t
+        if r.t is not None:
+            best = max(r.aliases, key=lambda a: (len(a), -owner[a]), default=None)
+            assert r.brand == (None if best is None else owner[best]), r.t
+            assert ("iban" in r.kinds) == r.iban, r.t
+
+
+def test_texts_of_a_corpus_are_redacted_once(spark):
+    from vigia.operators import corpus
+
+    sms = spark.createDataFrame([("ver https://a.es/x", "spam", 1), ("  ", "ham", 2), ("VER https://b.es/y", "ham", 3)],
+                                "texto string, etiqueta string, n int")
+    rows = corpus.training_rows(sms, "sms", "n")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("[ENLACE]") == 1
+    assert [(r.text, r.label) for r in rows.collect()] == [("ver [ENLACE]", "spam")]

@@ -44,3 +44,11 @@ def test_table_digests_see_every_column_and_copy_but_no_order(spark):
     assert digest(rows) == digest(rows[::-1], 3)
     others = [[("m1", "x", [2]), rows[1]], [rows[0], ("m2", "", None)], rows + rows[:1], rows + rows + rows]
     assert len({digest(r) for r in [rows, *others]}) == 5
+
+
+def test_stix_export_scores_its_batch_once(spark, tmp_path):
+    from checks.corpus import stix_export
+
+    rows = stix_export(spark, write_tables(spark, tmp_path, [TEXT, "Hola"]))
+    assert all("/staged-" in name for name in rows.inputFiles())
+    assert {r.message_id for r in rows.collect()} == {"m0", "m1"}

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 TEXT = "Llame al 912 345 678 y mire https://bit.ly/a con su cuenta"
 
 
@@ -52,3 +54,13 @@ def test_stix_export_scores_its_batch_once(spark, tmp_path):
     rows = stix_export(spark, write_tables(spark, tmp_path, [TEXT, "Hola"]))
     assert all("/staged-" in name for name in rows.inputFiles())
     assert {r.message_id for r in rows.collect()} == {"m0", "m1"}
+
+
+@pytest.mark.parametrize("query", ["campaign_text", "campaign_rollup"])
+def test_campaign_queries_work_fingerprints_out_once(spark, tmp_path, query):
+    from checks import store
+
+    rows = getattr(store, query)(spark, write_tables(spark, tmp_path, [TEXT, TEXT + " ya", "Otra cosa distinta"], toxic=(0,)))
+    plan = rows._jdf.queryExecution().toString()  # holds staged fingerprints only
+    assert "ArrowEvalPython" not in plan
+    assert rows.count()

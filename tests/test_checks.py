@@ -64,3 +64,11 @@ def test_campaign_queries_work_fingerprints_out_once(spark, tmp_path, query):
     plan = rows._jdf.queryExecution().toString()  # holds staged fingerprints only
     assert "ArrowEvalPython" not in plan
     assert rows.count()
+
+
+def test_store_verdicts_plans_one_source_at_a_time(spark, tmp_path):
+    from checks.whole import store_verdicts
+
+    rows = store_verdicts(spark, write_tables(spark, tmp_path, [TEXT, TEXT, "Hola"], toxic=(0,)))
+    assert all("/staged-" in name for name in rows.inputFiles())
+    assert {r.message_id for r in rows.collect()} == {"m0", "m1", "m2"}
